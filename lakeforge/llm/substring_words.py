@@ -101,8 +101,8 @@ def dedup_word_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         at = B.bucket_of(key[first], buckets)
         order = np.lexsort((start[first], place[text[first]], at))
         at = at[order]
-        cuts = B.runs_of(at)
-        return order, [(int(at[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+        edges = [*B.runs_of(at), len(at)]
+        return order, [(int(at[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def ask_windows(table, have, block):
         ids, words, start, text, key, other, first, _, place = windows(table, have)
