@@ -76,7 +76,7 @@ def dedup_byte_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = cell_sizes(length - q + 1)
     width = sizes[0]
     keep = [id_col, *[c for c in keep or [] if c not in (id_col, text_col)]]
-    packed = B.pack(df, text_col, keep)
+    packed = B.pack(df, text_col, keep, block_bytes=2 << 20)
     buckets = packed.buckets(0.5)
 
     def cells(texts: Texts, have, upto: int, block: int):
