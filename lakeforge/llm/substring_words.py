@@ -146,7 +146,7 @@ def dedup_word_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if n_gone[i]:
                 parts = [w for w, x in zip(parts, gone[words.off[i] : words.off[i + 1]], strict=True) if not x]
             kept.append(b" ".join(parts).decode())
-        return pd.DataFrame({id_col: table[id_col].to_pandas(types_mapper=nullable.get), "n_words": n_words, "n_removed": n_gone, "kept": kept})
+        return pd.DataFrame({id_col: table[id_col].to_pandas(types_mapper=nullable.get), "n_words": n_words, "n_removed": n_gone, "kept": pd.Series(kept, dtype=object)})
 
     nullable = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
     schema = T.StructType([df.schema[id_col], *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
