@@ -19,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeforge.llm.blocks import checkpoint
+
 BITS = 64
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda w: w != "")
+    """Lower-cased runs of letters and digits; one empty word if there are none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def _shingle(w: Column, i: Column, k: int) -> Column:
@@ -90,38 +91,41 @@ def find_contamination(
     Other columns don't take part; empty tables give no rows.
     """
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("iw")).where("item_id is not null").distinct()
-    tests = tests.withColumn("size", F.size("iw")).where("size > 0").withColumn("k", F.least("size", F.lit(shingle)))
+    tests = tests.withColumn("size", F.size("iw")).where("iw[0] != ''").withColumn("k", F.least("size", F.lit(shingle)))
     tests = tests.withColumn("item", F.xxhash64("item_id", "iw"))
     docs = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    pieces, probes = None, None
+    pieces, places = None, None
     # Widths below `shingle` only where items are that short; a handful of numbers.
     widths = sorted((r["k"], r["least"]) for r in tests.groupBy("k").agg(F.min("size").alias("least")).collect())
+    if not widths:
+        return df.select(F.col(id_col), *(F.lit(0).cast(t).alias(c) for c, t in (("item_id", "long"), ("start_word", "int"), ("n_words", "int"), ("similarity", "double")))).where("false")
     for k, least in widths:
         # of n shingles at most n * lost can be missing in a similar window
         lost, n = (1 - threshold), least - k + 1
         stride = next(s for s in (4, 3, 2, 1) if s == 1 or all(x // s > int(x * lost / (1 + lost) * 2 + 1e-9) for x in range(n, n + 400)))
         at = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        places = F.transform(at, _placed(k))
-        part = docs.select("key", F.explode(places).alias("p")).select("key", "p.pos", "p.h", F.lit(k).alias("k"))
+        part = F.transform(at, _placed(k))
         own = tests.where(F.col("k") == k)
         piece = own.select("size", "k", F.explode(_shingles(F.col("iw"), k)).alias("h")).distinct()
-        probes = part if probes is None else probes.unionByName(part)
+        places = part if places is None else F.concat(places, part)
         pieces = piece if pieces is None else pieces.unionByName(piece)
-    if probes is None:
-        return df.select(F.col(id_col), *(F.lit(0).cast(t).alias(c) for c, t in (("item_id", "long"), ("start_word", "int"), ("n_words", "int"), ("similarity", "double")))).where("false")
-    hits = probes.join(pieces, ["h", "k"]).groupBy("key").agg(F.collect_set(F.struct("pos", "size", "k")).alias("hits"))
-    near = docs.join(hits, "key")
+    probes = docs.select("key", F.explode(places).alias("p")).select("key", "p.*")
+    hits = probes.join(pieces, "h").groupBy("key").agg(F.collect_set(F.struct("pos", "size", "k")).alias("hits"))
+    # Only documents with an item's shingle go on; their texts move once.
+    texts = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    gated = checkpoint(texts.join(hits, "key").select("key", "id", words(F.col("text")).alias("w"), "hits"))
     last = lambda x: F.greatest(F.size("w") - x["size"], F.lit(0))
     starts = F.transform("hits", lambda x: F.transform(
         F.sequence(F.least(F.greatest(x["pos"] - x["size"] + x["k"], F.lit(0)), last(x)), F.least(x["pos"], last(x))),
         lambda s: F.struct(x["size"].alias("size"), s.alias("start"))))
-    windows = near.select("key", "id", "w", F.explode(F.array_distinct(F.flatten(starts))).alias("x")).select("key", "id", "x.size", "x.start", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("ww")).dropDuplicates(["key", "size", "start"])
+    windows = gated.select("key", "w", F.explode(F.array_distinct(F.flatten(starts))).alias("x")).select("key", "x.size", "x.start", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("ww"))
     prints = simhash(windows, ["key", "size", "start"], "ww").select("key", "size", "start", "fp", F.explode(_blocks(radius)).alias("x"))
     ours = simhash(tests, ["item", "size"], "iw").select("item", "size", F.col("fp").alias("ifp"), "fp", F.explode(_blocks(radius)).alias("x")).drop("fp")
     prints, ours = (x.select("*", "x.b", "x.value").drop("x") for x in (prints, ours))
     pairs = prints.join(ours, ["size", "b", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("key", "size", "start", "item").distinct()
     # exact: multisets of shingles
-    chosen = pairs.join(windows, ["key", "size", "start"]).join(tests.select("item", "k", "item_id", "iw"), "item")
+    chosen = pairs.join(gated.select("key", "id", "w"), "key").withColumn("ww", F.slice("w", F.col("start") + 1, F.col("size")))
+    chosen = chosen.drop("w").join(tests.select("item", "k", "item_id", "iw"), "item")
     sets = None
     for k, _ in widths:
         part = chosen.where(F.col("k") == k).select("key", "id", "size", "start", "item", "item_id", _shingles(F.col("ww"), k).alias("a"), _shingles(F.col("iw"), k).alias("b"))
