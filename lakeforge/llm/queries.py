@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeforge.llm import licenses
 from lakeforge.llm.contamination import find_contamination
+from lakeforge.llm.jaccard_join import near_duplicates
 from lakeforge.llm.language_id import identify
 from lakeforge.llm.ngram_lm import score_documents
 from lakeforge.llm.pieces import encode_documents
@@ -57,6 +58,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets link at 90 hundredths."""
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op7_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with begin and end, and decoded."""
     out = encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
