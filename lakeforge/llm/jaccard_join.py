@@ -8,11 +8,11 @@ bits. An element in one set only changes one word by at most a bit, so the Hammi
 distance of two sketches is at most the symmetric difference, and of d + 1 words one is
 equal (pigeonhole). Sets that share a word are candidates; their shingles decide.
 
-Components, not pairs, are asked for, so a group of sets that share a word is joined to
-its leader first. Only where a group still holds several components are further members
-made leaders, some at a time and each against the members of other components, until
-every pair of them is either tested or connected. No link is lost, and a large group of
-copies costs a number of tests in proportion to its size.
+Components, not pairs, are asked for, so each set is tested against one leader first.
+Where a group of sets that share a word still holds several components, the whole
+sketches of its members are compared across components, chunk by chunk, and the pairs
+within the Hamming bound are verified. Every pair of such a group is then connected,
+ruled out by its sketches, or tested: no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,21 +71,34 @@ class Bands:
         return np.searchsorted(self.edges, size, side="right") - 1
 
 
-def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every word of the sketches of every set, in its own band and the next."""
-    rows, keys = [], []
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band of each set (its own, or with step 1 the next), its number of words there (0 if empty), and all words."""
+    band = bands.of(np.maximum(size, 1)) + step
+    parts = np.where(size > 0, bands.parts[np.minimum(band, len(bands.parts) - 1)], 0)
+    base = np.cumsum(parts) - parts
+    word = np.zeros(int(parts.sum()), U64)
+    at = base[row] + (mix(h ^ U64(0x5851F42D4C957F2D)) % parts[row].astype(U64)).astype(np.int64)
+    np.bitwise_xor.at(word, at, U64(1) << (h >> U64(58)))
+    return band, parts, word
+
+
+def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, key) of every word of the sketches of every set, in its own band and the next."""
+    out = []
     for step in (0, 1):
-        band = bands.of(np.maximum(size, 1)) + step
-        parts = np.where(size > 0, bands.parts[np.minimum(band, len(bands.parts) - 1)], 0)
-        base = np.cumsum(parts) - parts
-        word = np.zeros(int(parts.sum()), U64)
-        at = base[row] + (mix(h ^ U64(0x5851F42D4C957F2D)) % parts[row].astype(U64)).astype(np.int64)
-        np.bitwise_xor.at(word, at, U64(1) << (h >> U64(58)))
+        band, parts, word = sketches(row, h, size, bands, step)
         owner = np.repeat(np.arange(len(size)), parts)
-        part = np.arange(len(word)) - base[owner]
-        keys.append(mix(word ^ mix((band[owner].astype(U64) << U64(40)) | part.astype(U64))))
-        rows.append(owner)
-    return np.concatenate(rows), np.concatenate(keys)
+        part = np.arange(len(word)) - (np.cumsum(parts) - parts)[owner]
+        out.append((owner, band[owner], mix(word ^ mix((band[owner].astype(U64) << U64(40)) | part.astype(U64)))))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) where row i of `a` and row j of `b` differ in at most `most` bits and `apart[i, j]` holds."""
+    distance = np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        distance += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return np.nonzero((distance <= most) & apart)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -102,7 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, leaders: int = 16) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, chunk_rows: int = 2048) -> DataFrame:
     """Groups of texts whose shingle sets have at least `percent` hundredths of their union in common.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. A text's set: distinct shingles of `shingle` words; of
@@ -133,26 +146,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pd.DataFrame({"bucket": np.zeros(0, np.int32), "blob": pd.Series([], dtype=object)})
         right = right.sort_values("row")
         table = B.unpack(left["payload"].iloc[0]).take(pa.array(right["row"].to_numpy()))
-        row, k = sketch_keys(*shingle_sets(table[text_col], shingle), bands)
+        row, band, k = sketch_keys(*shingle_sets(table[text_col], shingle), bands)
         order = np.argsort(k, kind="stable")
-        k, ids = k[order], right["id"].to_numpy(np.int64)[row[order]]
-        rows = [(b, B.squeeze(k[x:y], ids[x:y])) for b, x, y in B.split(k, buckets)]
+        k, band, ids = k[order], band[order].astype(np.int32), right["id"].to_numpy(np.int64)[row[order]]
+        rows = [(b, B.squeeze(k[x:y], ids[x:y], band[x:y])) for b, x, y in B.split(k, buckets)]
         return pd.DataFrame({"bucket": np.array([r[0] for r in rows], np.int32), "blob": pd.Series([r[1] for r in rows], dtype=object)})
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
-        read = [B.expand(x, "u8", "i8") for x in frame["blob"]]
-        key, ids = (np.concatenate([x[i] for x in read]) for i in (0, 1))
+        read = [B.expand(x, "u8", "i8", "i4") for x in frame["blob"]]
+        key, ids, band = (np.concatenate([x[i] for x in read]) for i in range(3))
         order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
+        key, ids, band = key[order], ids[order], band[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        key, ids = key[fresh], ids[fresh]
+        key, ids, band = key[fresh], ids[fresh], band[fresh]
         starts = B.runs_of(key)
         size = np.diff([*starts, len(key)])
         some = np.repeat(size > 1, size)
-        return pd.DataFrame({"key": key.view(np.int64)[some], "id": ids[some], "leader": np.repeat(ids[starts], size)[some]})
+        return pd.DataFrame({"key": key.view(np.int64)[some], "band": band[some], "id": ids[some], "leader": np.repeat(ids[starts], size)[some]})
 
     asked = blocks.groupBy("block").cogroup(classes.select("block", "row", "id").groupBy("block")).applyInPandas(ask, "bucket int, blob binary")
-    groups = B.checkpoint(asked.groupBy("bucket").applyInPandas(group, "key long, id long, leader long"))
+    groups = B.checkpoint(asked.groupBy("bucket").applyInPandas(group, "key long, band int, id long, leader long"))
     place = classes.select("id", "block", "row")
 
     def take(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -190,43 +203,67 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sent = pairs.join(place, "id").groupBy("block", "leader").agg(F.collect_list("row").alias("rows"), F.collect_list("id").alias("ids"))
         return B.checkpoint(blocks.groupBy("block").cogroup(sent.join(found, "leader").groupBy("block")).applyInPandas(test, "a long, b long"))
 
-    # First each class against one leader, then against all its leaders of other components.
+    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The sketches of some rows of a block, in their own band and the next."""
+        ids, band, blob = [], [], []
+        if len(left) and len(right):
+            right = right.sort_values("row")
+            sets_ = shingle_sets(B.unpack(left["payload"].iloc[0]).take(pa.array(right["row"].to_numpy()))[text_col], shingle)
+            for step in (0, 1):
+                of, parts, word = sketches(*sets_, bands, step)
+                cut = np.concatenate([[0], np.cumsum(parts)])
+                ids += right["id"].tolist()
+                band += of.tolist()
+                blob += [word[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame({"id": np.array(ids, np.int64), "band": np.array(band, np.int32), "sketch": pd.Series(blob, dtype=object)})
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of different components whose sketches allow a link, for some groups: within a part of one or between two."""
+        key, p, q, chunk, ids, comp, band = (frame[c].to_numpy() for c in ("key", "p", "q", "chunk", "id", "comp", "band"))
+        words = frame["sketch"].to_numpy()
+        order = np.lexsort((q, p, key))
+        edge = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)])
+        heads = np.flatnonzero(edge)
+        out = [np.zeros((0, 2), np.int64)]
+        for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
+            at = order[x:y]
+            most = int(bands.parts[band[at[0]]]) - 1
+            one, two = at[chunk[at] == p[at[0]]], at[chunk[at] == q[at[0]]]
+            if not len(one) or not len(two):
+                continue
+            a, b = (np.frombuffer(b"".join(words[z]), U64).reshape(len(z), -1) for z in (one, two))
+            for k in range(0, len(one), 256):
+                some = one[k : k + 256]
+                i, j = close_pairs(a[k : k + 256], b, comp[some, None] != comp[None, two], most)
+                if len(i):
+                    out.append(np.column_stack([ids[some][i], ids[two][j]]))
+        pairs = np.concatenate(out)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+        return pd.DataFrame({"id": pairs[:, 1], "leader": pairs[:, 0]})
+
+    # First each class against one leader.
     tested = B.checkpoint(groups.where("id <> leader").groupBy("id").agg(F.min("leader").alias("leader")))
     edges = verified(tested)
     label = components(edges)
-
-    def labelled() -> DataFrame:
-        """Members of groups that hold several components."""
-        known = groups.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-        return B.checkpoint(known.join(mixed, "key"))
-
-    def try_on(pairs: DataFrame) -> bool:
-        nonlocal tested, edges, label
-        fresh = B.checkpoint(pairs.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct().join(tested, ["id", "leader"], "left_anti"))
-        if fresh.isEmpty():
-            return False
-        more = verified(fresh)
-        tested = tested.unionByName(fresh)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            label = components(edges)
-        return True
-
-    left = labelled()
-    lead = left.select(F.col("id").alias("leader"), F.col("comp").alias("of"), "key")
-    if try_on(left.join(lead, ["key", "leader"]).where("comp <> of").select("id", "leader")):
-        left = labelled()
-    done = 0
-    while not left.isEmpty():
-        # The next members by id as leaders, each against its group's members of other components.
-        number = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        lead = left.withColumn("number", number).where((F.col("number") > done) & (F.col("number") <= done + leaders))
-        if lead.isEmpty():
-            break
-        lead = lead.select("key", F.col("id").alias("leader"), F.col("comp").alias("of"))
-        try_on(left.drop("leader").join(lead, "key").where("comp <> of").select("id", "leader"))
-        done += leaders
+    # Then all other pairs of groups that still hold several components, where the sketches allow a link.
+    known = groups.drop("leader").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
+    left = B.checkpoint(known.join(mixed, "key"))
+    wanted = left.select("id").distinct().join(place, "id")
+    drawn = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(draw, "id long, band int, sketch binary")
+    # A large group is compared by pairs of its chunks, so that no task holds all of it.
+    chunks = F.ceil(F.col("size") / chunk_rows).cast("long")
+    chunk = F.pmod(F.xxhash64("id"), chunks)
+    dealt = left.join(drawn, ["id", "band"]).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
+    # Small groups share tasks of some ten thousand rows.
+    tasks = left.count() // 20_000 + 8
+    task = F.when(F.col("size") <= chunk_rows, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "p", "q"))
+    dealt = dealt.select("key", "id", "comp", "band", "chunk", "sketch", "p", "q", task.alias("task"))
+    rest = dealt.groupBy("task").applyInPandas(compare, "id long, leader long").distinct().join(tested, ["id", "leader"], "left_anti")
+    more = verified(B.checkpoint(rest))
+    if not more.isEmpty():
+        label = components(edges.unionByName(more))
     out = sets.join(classes.select("h1", "h2", "n", F.col("id").alias("rep")), ["h1", "h2", "n"], "left")
     out = out.join(label.withColumnRenamed("id", "rep"), "rep", "left")
     kind = df.schema[id_col].dataType

@@ -170,7 +170,7 @@ def dedup_byte_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lo, hi = texts.off[:-1], texts.off[1:]
         n_gone = total[hi] - total[lo]
         kept = [texts.data[x:y][~gone[x:y]].tobytes() if n else texts.bytes_of(i) for i, (x, y, n) in enumerate(zip(lo, hi, n_gone, strict=True))]
-        out = {c: table[c].to_pandas(types_mapper=nullable.get) for c in keep}
+        out = {c: table[c].to_pandas(types_mapper=nullable.get) if table[c].type in nullable else pd.Series(table[c].to_pylist(), dtype=object) for c in keep}
         return pd.DataFrame(out | {"n_bytes": hi - lo, "n_removed": n_gone, "n_spans": spans[hi] - spans[lo], "kept": pd.Series(kept, dtype=object)})
 
     nullable = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
