@@ -3,10 +3,10 @@
 Sets of equal shingles are one class from the start. Classes are laid into size bands:
 two sets that link lie in the same band or in neighbouring ones, and differ in at most
 d elements, d being set by the band's largest size. In each band a set's elements are
-dealt by hash into d + 1 parts, and each part's elements are XORed into a word of 64
-bits. An element in one set only changes one word by at most a bit, so the Hamming
-distance of two sketches is at most the symmetric difference, and of d + 1 words one is
-equal (pigeonhole). Sets that share a word are candidates; their shingles decide.
+dealt by hash into more than d parts, and each part's elements are XORed into a word of
+64 bits. An element in one set only changes one word by at most a bit, so the Hamming
+distance of two sketches is at most the symmetric difference, and some words are equal
+(pigeonhole). Sets that share a word are candidates; their shingles decide.
 
 Components, not pairs, are asked for, so each set is tested against one leader first.
 Where a group of sets that share a word still holds several components, the whole
@@ -64,8 +64,10 @@ class Bands:
             edges.append(100 * edges[-1] // percent + 1)
         edges.append(100 * edges[-1] // percent + 1)
         self.edges = np.array(edges)
-        #: Parts of band i: one more than the largest symmetric difference of two sets up to its upper size.
-        self.parts = (100 - percent) * 2 * (self.edges[1:] - 1) // (100 + percent) + 1
+        #: The largest symmetric difference of two sets that link, up to the band's upper size.
+        self.most = (100 - percent) * 2 * (self.edges[1:] - 1) // (100 + percent)
+        #: Parts: some more than that, so that more than one word is equal; none where only equal sets link.
+        self.parts = np.where(self.most > 0, self.most + 4 + self.most // 7, 0)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, size, side="right") - 1
@@ -77,22 +79,38 @@ def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, ste
     parts = np.where(size > 0, bands.parts[np.minimum(band, len(bands.parts) - 1)], 0)
     base = np.cumsum(parts) - parts
     word = np.zeros(int(parts.sum()), U64)
+    some = parts[row] > 0
+    row, h = row[some], h[some]
     at = base[row] + (mix(h ^ U64(0x5851F42D4C957F2D)) % parts[row].astype(U64)).astype(np.int64)
     np.bitwise_xor.at(word, at, U64(1) << (h >> U64(58)))
     return band, parts, word
 
 
 def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, key) of every word of the sketches of every set, in its own band and the next."""
+    """(row, band, key) of the words of the sketches of every set, in its own band and the next.
+
+    Of two sets that link, parts - most words at least are equal. A set with fewer zero words than that shares one
+    that isn't zero, and its zero words, which many sets have, are left out; else so many are zero in both sets.
+    """
     out = []
     for step in (0, 1):
         band, parts, word = sketches(row, h, size, bands, step)
         owner = np.repeat(np.arange(len(size)), parts)
         part = np.arange(len(word)) - (np.cumsum(parts) - parts)[owner]
+        zeros = np.bincount(owner[word == 0], minlength=len(size))
+        all_of = zeros >= parts - bands.most[np.minimum(band, len(bands.most) - 1)]
+        use = (word != 0) | all_of[owner]
+        owner, part, word = owner[use], part[use], word[use]
         out.append((owner, band[owner], mix(word ^ mix((band[owner].astype(U64) << U64(40)) | part.astype(U64)))))
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
+def fold(word: np.ndarray) -> np.ndarray:
+    """A quarter of the words, each the XOR of four: a coarser parity sketch, whose distances are bounds as well."""
+    n = -(-len(word) // 4)
+    return np.bitwise_xor.reduce(np.concatenate([word, np.zeros(4 * n - len(word), U64)]).reshape(4, n), axis=0)
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) where row i of `a` and row j of `b` differ in at most `most` bits and `apart[i, j]` holds."""
     distance = np.zeros((len(a), len(b)), np.int32)
@@ -204,7 +222,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return B.checkpoint(blocks.groupBy("block").cogroup(sent.join(found, "leader").groupBy("block")).applyInPandas(test, "a long, b long"))
 
     def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The sketches of some rows of a block, in their own band and the next."""
+        """The folded sketches of some rows of a block, in their own band and the next."""
         ids, band, blob = [], [], []
         if len(left) and len(right):
             right = right.sort_values("row")
@@ -214,7 +232,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 cut = np.concatenate([[0], np.cumsum(parts)])
                 ids += right["id"].tolist()
                 band += of.tolist()
-                blob += [word[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                blob += [fold(word[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pd.DataFrame({"id": np.array(ids, np.int64), "band": np.array(band, np.int32), "sketch": pd.Series(blob, dtype=object)})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -227,7 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = [np.zeros((0, 2), np.int64)]
         for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
             at = order[x:y]
-            most = int(bands.parts[band[at[0]]]) - 1
+            most = int(bands.most[band[at[0]]])
             one, two = at[chunk[at] == p[at[0]]], at[chunk[at] == q[at[0]]]
             if not len(one) or not len(two):
                 continue
