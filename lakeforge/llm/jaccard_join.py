@@ -87,10 +87,11 @@ def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, ste
 
 
 def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, key) of the words of the sketches of every set, in its own band and the next.
+    """(row, band, key, need) of the words of the sketches of every set, in its own band and the next.
 
     Of two sets that link, parts - most words at least are equal. A set with fewer zero words than that shares one
     that isn't zero, and its zero words, which many sets have, are left out; else so many are zero in both sets.
+    `need`: how many of its words at least a set shares in that band with each set that it links to.
     """
     out = []
     for step in (0, 1):
@@ -98,11 +99,13 @@ def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands)
         owner = np.repeat(np.arange(len(size)), parts)
         part = np.arange(len(word)) - (np.cumsum(parts) - parts)[owner]
         zeros = np.bincount(owner[word == 0], minlength=len(size))
-        all_of = zeros >= parts - bands.most[np.minimum(band, len(bands.most) - 1)]
+        equal = parts - bands.most[np.minimum(band, len(bands.most) - 1)]
+        all_of = zeros >= equal
+        need = np.where(all_of, 1, equal - zeros)
         use = (word != 0) | all_of[owner]
         owner, part, word = owner[use], part[use], word[use]
-        out.append((owner, band[owner], mix(word ^ mix((band[owner].astype(U64) << U64(40)) | part.astype(U64)))))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+        out.append((owner, band[owner], mix(word ^ mix((band[owner].astype(U64) << U64(40)) | part.astype(U64))), need[owner]))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
 def fold(word: np.ndarray) -> np.ndarray:
@@ -164,26 +167,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pd.DataFrame({"bucket": np.zeros(0, np.int32), "blob": pd.Series([], dtype=object)})
         right = right.sort_values("row")
         table = B.unpack(left["payload"].iloc[0]).take(pa.array(right["row"].to_numpy()))
-        row, band, k = sketch_keys(*shingle_sets(table[text_col], shingle), bands)
+        row, band, k, need = sketch_keys(*shingle_sets(table[text_col], shingle), bands)
         order = np.argsort(k, kind="stable")
-        k, band, ids = k[order], band[order].astype(np.int32), right["id"].to_numpy(np.int64)[row[order]]
-        rows = [(b, B.squeeze(k[x:y], ids[x:y], band[x:y])) for b, x, y in B.split(k, buckets)]
+        k, band, need, ids = k[order], band[order].astype(np.int32), need[order].astype(np.int32), right["id"].to_numpy(np.int64)[row[order]]
+        rows = [(b, B.squeeze(k[x:y], ids[x:y], band[x:y], need[x:y])) for b, x, y in B.split(k, buckets)]
         return pd.DataFrame({"bucket": np.array([r[0] for r in rows], np.int32), "blob": pd.Series([r[1] for r in rows], dtype=object)})
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
-        read = [B.expand(x, "u8", "i8", "i4") for x in frame["blob"]]
-        key, ids, band = (np.concatenate([x[i] for x in read]) for i in range(3))
+        read = [B.expand(x, "u8", "i8", "i4", "i4") for x in frame["blob"]]
+        key, ids, band, need = (np.concatenate([x[i] for x in read]) for i in range(4))
         order = np.lexsort((ids, key))
-        key, ids, band = key[order], ids[order], band[order]
+        key, ids, band, need = key[order], ids[order], band[order], need[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        key, ids, band = key[fresh], ids[fresh], band[fresh]
+        key, ids, band, need = key[fresh], ids[fresh], band[fresh], need[fresh]
         starts = B.runs_of(key)
         size = np.diff([*starts, len(key)])
         some = np.repeat(size > 1, size)
-        return pd.DataFrame({"key": key.view(np.int64)[some], "band": band[some], "id": ids[some], "leader": np.repeat(ids[starts], size)[some]})
+        return pd.DataFrame({"key": key.view(np.int64)[some], "band": band[some], "need": need[some], "id": ids[some]})
 
     asked = blocks.groupBy("block").cogroup(classes.select("block", "row", "id").groupBy("block")).applyInPandas(ask, "bucket int, blob binary")
-    groups = B.checkpoint(asked.groupBy("bucket").applyInPandas(group, "key long, band int, id long, leader long"))
+    shared = B.checkpoint(asked.groupBy("bucket").applyInPandas(group, "key long, band int, need int, id long"))
+    # A set that shares too few words in a band links to none there.
+    able = shared.groupBy("id", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
+    able = shared.join(able.select("id", "band"), ["id", "band"]).select("key", "band", "id")
+    leads = able.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    groups = B.checkpoint(able.join(leads, "key"))
     place = classes.select("id", "block", "row")
 
     def take(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
