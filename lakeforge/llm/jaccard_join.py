@@ -3,16 +3,25 @@
 Sets of equal shingles are one class from the start. Classes are laid into size bands:
 two sets that link lie in the same band or in neighbouring ones, and differ in at most
 d elements, d being set by the band's largest size. In each band a set's elements are
-dealt by hash into more than d parts, and each part's elements are XORed into a word of
-64 bits. An element in one set only changes one word by at most a bit, so the Hamming
-distance of two sketches is at most the symmetric difference, and some words are equal
-(pigeonhole). Sets that share a word are candidates; their shingles decide.
-
-Components, not pairs, are asked for, so each set is tested against one leader first.
-Where a group of sets that share a word still holds several components, the whole
-sketches of its members are compared across components, chunk by chunk, and the pairs
-within the Hamming bound are verified. Every pair of such a group is then connected,
-ruled out by its sketches, or tested: no link is lost.
+dealt by hash into more than d parts, and each element flips one bit of its part's
+parity word. An element in one set only changes one word by at most a bit, so the
+Hamming distance of two sketches is at most the symmetric difference, and some words
+are equal (pigeonhole). Sets that share enough words are candidates; their shingles decide.
+
+A word is kept in two widths. The join needs words that are seldom equal by chance, so
+its words have 2**64 places, of which the fingerprint (the XOR of the flipped places'
+codes) stands for the word. Sketches that are sent to be compared have 64 places a word, folded.
+
+Components, not pairs, are asked for:
+
+1. Each class is tested against a leader or two, found by its few least words.
+2. Blocks ask by all words which of them are in several components still. A set with
+   fewer of those in a band than it must share with any link there has no more links there.
+3. The others give their words, but for so many of the largest as they must share, and
+   the sketches of sets of different components that share one are compared, chunk by
+   chunk; pairs within the Hamming bound are verified.
+
+Every pair is then connected, ruled out by its words or sketches, or tested: no link is lost.
 """
 
 from __future__ import annotations
@@ -73,8 +82,11 @@ class Bands:
         return np.searchsorted(self.edges, size, side="right") - 1
 
 
-def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band of each set (its own, or with step 1 the next), its number of words there (0 if empty), and all words."""
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, step: int, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band of each set (its own, or with step 1 the next), its number of words there (0 if empty), and all words.
+
+    Wide words are given by their fingerprints, others have 64 places.
+    """
     band = bands.of(np.maximum(size, 1)) + step
     parts = np.where(size > 0, bands.parts[np.minimum(band, len(bands.parts) - 1)], 0)
     base = np.cumsum(parts) - parts
@@ -82,12 +94,12 @@ def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, ste
     some = parts[row] > 0
     row, h = row[some], h[some]
     at = base[row] + (mix(h ^ U64(0x5851F42D4C957F2D)) % parts[row].astype(U64)).astype(np.int64)
-    np.bitwise_xor.at(word, at, U64(1) << (h >> U64(58)))
+    np.bitwise_xor.at(word, at, mix(h + U64(0x14057B7EF767814F)) if wide else U64(1) << (h >> U64(58)))
     return band, parts, word
 
 
-def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, key, need) of the words of the sketches of every set, in its own band and the next.
+def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, key, need) of the wide words of every set, in its own band and the next.
 
     Of two sets that link, parts - most words at least are equal. A set with fewer zero words than that shares one
     that isn't zero, and its zero words, which many sets have, are left out; else so many are zero in both sets.
@@ -95,7 +107,7 @@ def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands)
     """
     out = []
     for step in (0, 1):
-        band, parts, word = sketches(row, h, size, bands, step)
+        band, parts, word = sketches(row, h, size, bands, step, wide=True)
         owner = np.repeat(np.arange(len(size)), parts)
         part = np.arange(len(word)) - (np.cumsum(parts) - parts)[owner]
         zeros = np.bincount(owner[word == 0], minlength=len(size))
@@ -108,10 +120,23 @@ def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands)
     return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit values by place, so that small values compress."""
+    return a.astype(np.int64).view(np.uint8).reshape(len(a), 8).T.reshape(-1)
+
+
+def unplanes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.reshape(8, -1).T).reshape(-1).view(np.int64)
+
+
+#: Words folded into one for comparison.
+FOLD = 8
+
+
 def fold(word: np.ndarray) -> np.ndarray:
-    """A quarter of the words, each the XOR of four: a coarser parity sketch, whose distances are bounds as well."""
-    n = -(-len(word) // 4)
-    return np.bitwise_xor.reduce(np.concatenate([word, np.zeros(4 * n - len(word), U64)]).reshape(4, n), axis=0)
+    """An eighth of the words, each the XOR of eight: a coarser parity sketch, whose distances are bounds as well."""
+    n = -(-len(word) // FOLD)
+    return np.bitwise_xor.reduce(np.concatenate([word, np.zeros(FOLD * n - len(word), U64)]).reshape(FOLD, n), axis=0)
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +161,15 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, chunk_rows: int = 2048) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, chunk_rows: int = 2048, first_words: int = 6) -> DataFrame:
     """Groups of texts whose shingle sets have at least `percent` hundredths of their union in common.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. A text's set: distinct shingles of `shingle` words; of
     fewer words the whole sequence is one; null texts and texts without words are linked with nothing. Returns
     id_col, n_shingles and component_id (the least id reachable by links, itself included; the id where there is
     none). One row per input row. Rows with one id are linked texts of that id. Rows with a null id belong to the
-    component of an equal set, else to none (null). Other columns don't take part; an empty table gives no rows.
+    component of an equal set, else to none (null). `first_words`: the words by which a set finds leaders; `chunk_rows`:
+    how many sketches of one group a task compares with as many; neither changes the result. Other columns don't take part; an empty table gives no rows.
     """
     packed = B.pack(df, text_col, [id_col])
     blocks = packed.df.select("block", "payload")
@@ -162,36 +188,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = Bands(percent, largest)
     buckets = packed.buckets(1.0)
 
-    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def keys_of(payload: bytes, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `rows`, band, key, need) of the words of some rows of a block."""
+        return sketch_keys(*shingle_sets(B.unpack(payload).take(pa.array(rows))[text_col], shingle), bands)
+
+    def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The least words of each set, in each of its bands."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"bucket": np.zeros(0, np.int32), "blob": pd.Series([], dtype=object)})
+            return pd.DataFrame({"key": np.zeros(0, np.int64), "id": np.zeros(0, np.int64)})
         right = right.sort_values("row")
-        table = B.unpack(left["payload"].iloc[0]).take(pa.array(right["row"].to_numpy()))
-        row, band, k, need = sketch_keys(*shingle_sets(table[text_col], shingle), bands)
-        order = np.argsort(k, kind="stable")
-        k, band, need, ids = k[order], band[order].astype(np.int32), need[order].astype(np.int32), right["id"].to_numpy(np.int64)[row[order]]
-        rows = [(b, B.squeeze(k[x:y], ids[x:y], band[x:y], need[x:y])) for b, x, y in B.split(k, buckets)]
-        return pd.DataFrame({"bucket": np.array([r[0] for r in rows], np.int32), "blob": pd.Series([r[1] for r in rows], dtype=object)})
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        read = [B.expand(x, "u8", "i8", "i4", "i4") for x in frame["blob"]]
-        key, ids, band, need = (np.concatenate([x[i] for x in read]) for i in range(4))
-        order = np.lexsort((ids, key))
-        key, ids, band, need = key[order], ids[order], band[order], need[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        key, ids, band, need = key[fresh], ids[fresh], band[fresh], need[fresh]
-        starts = B.runs_of(key)
-        size = np.diff([*starts, len(key)])
-        some = np.repeat(size > 1, size)
-        return pd.DataFrame({"key": key.view(np.int64)[some], "band": band[some], "need": need[some], "id": ids[some]})
-
-    asked = blocks.groupBy("block").cogroup(classes.select("block", "row", "id").groupBy("block")).applyInPandas(ask, "bucket int, blob binary")
-    shared = B.checkpoint(asked.groupBy("bucket").applyInPandas(group, "key long, band int, need int, id long"))
-    # A set that shares too few words in a band links to none there.
-    able = shared.groupBy("id", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
-    able = shared.join(able.select("id", "band"), ["id", "band"]).select("key", "band", "id")
-    leads = able.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    groups = B.checkpoint(able.join(leads, "key"))
+        row, band, key, _ = keys_of(left["payload"].iloc[0], right["row"].to_numpy())
+        order = np.lexsort((key, band, row))
+        row, band, key = row[order], band[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(band) != 0)])) if len(row) else np.zeros(0, np.int64)
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff([*starts, len(row)]))
+        some = rank < first_words
+        return pd.DataFrame({"key": key[some].view(np.int64), "id": right["id"].to_numpy(np.int64)[row[some]]})
+
+    least = B.checkpoint(blocks.groupBy("block").cogroup(classes.select("block", "row", "id").groupBy("block")).applyInPandas(first, "key long, id long"))
+    sizes = least.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    fame = least.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("fame"))
+    # A group's leader is the member whose words most sets have: of the copies of one text, that text.
+    known = least.join(fame, "id")
+    leads = known.groupBy("key").agg(F.max(F.struct("fame", -F.col("id"))).alias("x"), F.count("*").alias("n")).where("n > 1")
+    leads = leads.select("key", (-F.col("x.col2")).alias("leader"))
     place = classes.select("id", "block", "row")
 
     def take(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -267,12 +287,72 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
         return pd.DataFrame({"id": pairs[:, 1], "leader": pairs[:, 0]})
 
-    # First each class against one leader.
-    tested = B.checkpoint(groups.where("id <> leader").groupBy("id").agg(F.min("leader").alias("leader")))
+    # First each class against the two leaders with which it has the most of its first words in common.
+    votes = least.join(leads, "key").where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("n", -F.col("leader"))), asc=False), 1, 2)
+    tested = votes.groupBy("id").agg(top.alias("x")).select("id", F.explode("x").alias("x"))
+    tested = B.checkpoint(tested.select("id", (-F.col("x.col2")).alias("leader")))
     edges = verified(tested)
     label = components(edges)
-    # Then all other pairs of groups that still hold several components, where the sketches allow a link.
-    known = groups.drop("leader").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    # Then: which words are in several components?
+    def hold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row")
+        blob = B.squeeze(frame["row"].to_numpy(np.int64), frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64))
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "round": np.int32(0), "bucket": np.int32(0), "blob": [blob]})
+
+    members = place.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    held = B.checkpoint(members.groupBy("block").applyInPandas(hold, B.REPLY))
+
+    def words_of(table: pa.Table, have: B.Replies) -> tuple:
+        """Words of a block's classes by key: place, band, key, need; starts of equal keys; ids; components."""
+        rows, ids, comp = B.expand(have[0][0], "i8", "i8", "i8") if 0 in have else (np.zeros(0, np.int64),) * 3
+        row, band, key, need = sketch_keys(*shingle_sets(table.take(pa.array(rows))[text_col], shingle), bands)
+        key >>= U64(16)
+        order = np.argsort(key, kind="stable")
+        row, band, key, need = row[order], band[order], key[order], need[order]
+        return row, band, key, need, B.runs_of(key), ids, comp
+
+    def emit(table: pa.Table, have: B.Replies, _: int) -> list[tuple[int, bytes]]:
+        """Each key once, with the least and the greatest component that have it in the block."""
+        row, _, key, _, starts, _, comp = words_of(table, have)
+        if not len(key):
+            return []
+        low, high = np.minimum.reduceat(comp[row], starts), np.maximum.reduceat(comp[row], starts)
+        key = key[starts]
+        return [(b, B.squeeze(planes(np.diff(key[x:y], prepend=U64(0)).view(np.int64)), planes(low[x:y]), planes(high[x:y] - low[x:y]))) for b, x, y in B.split(key << U64(16), buckets)]
+
+    def judge(blobs: list[bytes], _: list[int]) -> list[bytes]:
+        read = [[unplanes(x) for x in B.expand(blob, "u1", "u1", "u1")] for blob in blobs]
+        key = np.concatenate([np.cumsum(x[0]) for x in read])
+        low = np.concatenate([x[1] for x in read])
+        high = np.concatenate([x[1] + x[2] for x in read])
+        order = np.argsort(key, kind="stable")
+        starts = B.runs_of(key[order])
+        several = np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts)
+        flags = np.empty(len(key), bool)
+        flags[order] = np.repeat(several, np.diff([*starts, len(key)]))
+        return [B.bits(x) for x in np.split(flags, np.cumsum([len(x[0]) for x in read])[:-1])]
+
+    def narrow(table: pa.Table, have: B.Replies, _: int) -> pd.DataFrame:
+        """The words of sets that have enough words in several components, but for the largest that they must share."""
+        row, band, key, need, starts, ids, comp = words_of(table, have)
+        flags = np.zeros(len(starts), bool)
+        for b, x, y in B.split(key[starts] << U64(16), buckets):
+            flags[x:y] = B.flags_of(have[1][b], y - x)
+        some = np.repeat(flags, np.diff([*starts, len(key)]))
+        row, band, key, need = row[some], band[some], key[some], need[some]
+        order = np.lexsort((key, band, row))
+        row, band, key, need = row[order], band[order], key[order], need[order]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(band) != 0)])) if len(row) else np.zeros(0, np.int64)
+        n = np.diff([*heads, len(row)])
+        rank = np.arange(len(row)) - np.repeat(heads, n)
+        use = rank <= np.repeat(n, n) - need
+        return pd.DataFrame({"key": key[use].view(np.int64), "band": band[use].astype(np.int32), "id": ids[row[use]], "comp": comp[row[use]]})
+
+    answers = B.answer(B.ask(packed, held, emit), 1, judge)
+    known = B.checkpoint(B.each_block(packed, held.unionByName(answers), narrow, "key long, band int, id long, comp long"))
+    # Then all pairs of groups that hold several components, where the sketches allow a link.
     mixed = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
     left = B.checkpoint(known.join(mixed, "key"))
     wanted = left.select("id").distinct().join(place, "id")
