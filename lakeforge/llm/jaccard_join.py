@@ -139,12 +139,20 @@ def fold(word: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(np.concatenate([word, np.zeros(FOLD * n - len(word), U64)]).reshape(FOLD, n), axis=0)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) where row i of `a` and row j of `b` differ in at most `most` bits and `apart[i, j]` holds."""
+def close_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits) where row i of `a` and row j of `b` differ in at most `most` bits and `apart[i, j]` holds.
+
+    Without `every`, of each i only the nearest j.
+    """
     distance = np.zeros((len(a), len(b)), np.int32)
     for k in range(a.shape[1]):
         distance += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return np.nonzero((distance <= most) & apart)
+    fits = (distance <= most) & apart
+    if not every:
+        near = np.where(fits, distance, most + 1).argmin(1)
+        fits &= np.arange(len(b)) == near[:, None]
+    i, j = np.nonzero(fits)
+    return i, j, distance[i, j]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,29 +271,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 blob += [fold(word[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pd.DataFrame({"id": np.array(ids, np.int64), "band": np.array(band, np.int32), "sketch": pd.Series(blob, dtype=object)})
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components whose sketches allow a link, for some groups: within a part of one or between two."""
-        key, p, q, chunk, ids, comp, band = (frame[c].to_numpy() for c in ("key", "p", "q", "chunk", "id", "comp", "band"))
-        words = frame["sketch"].to_numpy()
-        order = np.lexsort((q, p, key))
-        edge = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)])
-        heads = np.flatnonzero(edge)
-        out = [np.zeros((0, 2), np.int64)]
-        for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
-            at = order[x:y]
-            most = int(bands.most[band[at[0]]])
-            one, two = at[chunk[at] == p[at[0]]], at[chunk[at] == q[at[0]]]
-            if not len(one) or not len(two):
-                continue
-            a, b = (np.frombuffer(b"".join(words[z]), U64).reshape(len(z), -1) for z in (one, two))
-            for k in range(0, len(one), 256):
-                some = one[k : k + 256]
-                i, j = close_pairs(a[k : k + 256], b, comp[some, None] != comp[None, two], most)
-                if len(i):
-                    out.append(np.column_stack([ids[some][i], ids[two][j]]))
-        pairs = np.concatenate(out)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
-        return pd.DataFrame({"id": pairs[:, 1], "leader": pairs[:, 0]})
+    def compare(every: bool):
+        """All pairs that the sketches allow; or, of each set, only the nearest."""
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            """Pairs of different components whose sketches allow a link, for some groups: within a part of one or between two."""
+            key, p, q, chunk, ids, comp, band = (frame[c].to_numpy() for c in ("key", "p", "q", "chunk", "id", "comp", "band"))
+            words = frame["sketch"].to_numpy()
+            order = np.lexsort((q, p, key))
+            edge = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)])
+            heads = np.flatnonzero(edge)
+            out = [np.zeros((0, 3), np.int64)]
+            for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
+                at = order[x:y]
+                most = int(bands.most[band[at[0]]])
+                one, two = at[chunk[at] == p[at[0]]], at[chunk[at] == q[at[0]]]
+                if not len(one) or not len(two):
+                    continue
+                a, b = (np.frombuffer(b"".join(words[z]), U64).reshape(len(z), -1) for z in (one, two))
+                for k in range(0, len(one), 256):
+                    some = one[k : k + 256]
+                    i, j, bits = close_pairs(a[k : k + 256], b, comp[some, None] != comp[None, two], most, every)
+                    if len(i):
+                        out.append(np.column_stack([ids[some][i], ids[two][j], bits]))
+            pairs = np.concatenate(out)
+            pairs[:, :2] = pairs[:, :2] if not every else np.sort(pairs[:, :2], axis=1)[:, ::-1]
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2] * (not every), pairs[:, 0]))]
+            same = pairs[1:, 0] == pairs[:-1, 0]
+            if every:
+                same &= pairs[1:, 1] == pairs[:-1, 1]
+            pairs = pairs[np.concatenate([[True], ~same])] if len(pairs) else pairs
+            return pd.DataFrame({"id": pairs[:, 0], "leader": pairs[:, 1], "bits": pairs[:, 2]})
+
+        return run
 
     # First each class against the two leaders with which it has the most of its first words in common.
     votes = least.join(leads, "key").where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
@@ -352,24 +370,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     answers = B.answer(B.ask(packed, held, emit), 1, judge)
     known = B.checkpoint(B.each_block(packed, held.unionByName(answers), narrow, "key long, band int, id long, comp long"))
-    # Then all pairs of groups that hold several components, where the sketches allow a link.
-    mixed = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
-    left = B.checkpoint(known.join(mixed, "key"))
-    wanted = left.select("id").distinct().join(place, "id")
-    drawn = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(draw, "id long, band int, sketch binary")
-    # A large group is compared by pairs of its chunks, so that no task holds all of it.
-    chunks = F.ceil(F.col("size") / chunk_rows).cast("long")
-    chunk = F.pmod(F.xxhash64("id"), chunks)
-    dealt = left.join(drawn, ["id", "band"]).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
-    # Small groups share tasks of some ten thousand rows.
-    tasks = left.count() // 20_000 + 8
-    task = F.when(F.col("size") <= chunk_rows, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "p", "q"))
-    dealt = dealt.select("key", "id", "comp", "band", "chunk", "sketch", "p", "q", task.alias("task"))
-    rest = dealt.groupBy("task").applyInPandas(compare, "id long, leader long").distinct().join(tested, ["id", "leader"], "left_anti")
-    more = verified(B.checkpoint(rest))
-    if not more.isEmpty():
-        label = components(edges.unionByName(more))
+    wanted = known.select("id").distinct().join(place, "id")
+    drawn = B.checkpoint(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(draw, "id long, band int, sketch binary"))
+    # Of groups that hold several components, first each set with the nearest of another component, which joins most
+    # of what can be joined; then all pairs that are still apart, where the sketches allow a link.
+    for every in (False, True):
+        now = known.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
+        left = B.checkpoint(now.join(mixed, "key"))
+        # A large group is compared by pairs of its chunks, so that no task holds all of it.
+        chunks = F.ceil(F.col("size") / chunk_rows).cast("long")
+        chunk = F.pmod(F.xxhash64("id"), chunks)
+        dealt = left.join(drawn, ["id", "band"]).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        dealt = dealt.withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
+        # Small groups share tasks of some ten thousand rows.
+        tasks = left.count() // 20_000 + 8
+        task = F.when(F.col("size") <= chunk_rows, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "p", "q"))
+        dealt = dealt.select("key", "id", "comp", "band", "chunk", "sketch", "p", "q", task.alias("task"))
+        pairs = dealt.groupBy("task").applyInPandas(compare(every), "id long, leader long, bits long")
+        if every:
+            pairs = pairs.select("id", "leader").distinct()
+        else:
+            pairs = pairs.groupBy("id").agg(F.min(F.struct("bits", "leader")).alias("x")).select("id", "x.leader")
+        pairs = B.checkpoint(pairs.join(tested, ["id", "leader"], "left_anti"))
+        more = verified(pairs)
+        tested = tested.unionByName(pairs)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            label = components(edges)
     out = sets.join(classes.select("h1", "h2", "n", F.col("id").alias("rep")), ["h1", "h2", "n"], "left")
     out = out.join(label.withColumnRenamed("id", "rep"), "rep", "left")
     kind = df.schema[id_col].dataType
