@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeforge.functions.cleaning import richness
+from lakeforge.operators.scd2 import with_surrogate
+
 
 def candidates(left: DataFrame, right: DataFrame, blocks: list[str], left_id: str, right_id: str) -> DataFrame:
     """Distinct pairs that share a non-blank value of any block; each block is an equi join, never a product."""
@@ -35,6 +38,46 @@ def mutual_best(scored: DataFrame, left_id: str, right_id: str, threshold: int =
     return scored.where(F.col("score") >= threshold).withColumns({"_l": F.row_number().over(l), "_r": F.row_number().over(r)}).where("_l = 1 and _r = 1").drop("_l", "_r")
 
 
+def golden(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """One record a customer: matched pairs and the singletons of both sides, with `source_presence`.
+
+    Both sides hold name, email, phone, city and modified. The richer name survives (left on ties), the right side's
+    e-mail, phone and city of the side that changed later (right on ties, left where a time is missing).
+    """
+    columns = ("name", "email", "phone", "city", "modified")
+    l, r = (x.select(i, *(F.col(c).alias(f"_{side}_{c}") for c in columns)) for x, i, side in ((left, left_id, "l"), (right, right_id, "r")))
+    both = l.join(pairs.select(left_id, right_id), left_id, "left").join(r, right_id, "full_outer")
+    by = lambda c: (F.col(f"_l_{c}"), F.col(f"_r_{c}"))
+    in_l, in_r = F.col(left_id).isNotNull(), F.col(right_id).isNotNull()
+    (l_at, r_at), (l_name, r_name), (l_mail, r_mail) = by("modified"), by("name"), by("email")
+    use_r = ~in_l | (in_r & F.coalesce(r_at >= l_at, F.lit(False)))
+    richer = F.coalesce(richness(r_name) > richness(l_name), l_name.isNull())
+    presence = F.when(in_l & in_r, "BOTH").when(in_l, "DMS_ONLY").otherwise("CRM_ONLY")
+    newer = (F.when(use_r, y).otherwise(x).alias(c) for c in ("phone", "city") for x, y in [by(c)])
+    return both.select(left_id, right_id, F.when(richer, r_name).otherwise(l_name).alias("name"), F.coalesce(r_mail, l_mail).alias("email"), *newer, F.greatest(l_at, r_at).alias("modified"), presence.alias("source_presence"))
+
+
+def stable_ids(records: DataFrame, known: DataFrame, left_id: str, right_id: str, prefix: str = "MST") -> DataFrame:
+    """`master_id` of an earlier run by the left id, else by the right; new records get the next numbers, by their ids.
+
+    `known`: left_id, right_id, master_id. New records alone are numbered, so numbers have no gaps.
+    """
+    by = lambda i, out: known.where(F.col(i).isNotNull()).groupBy(i).agg(F.min("master_id").alias(out))
+    out = records.join(by(left_id, "_l"), left_id, "left").join(by(right_id, "_r"), right_id, "left").withColumn("master_id", F.coalesce("_l", "_r")).drop("_l", "_r")
+    last = known.agg(F.coalesce(F.max(F.substring("master_id", len(prefix) + 1, 20).cast("long")), F.lit(0)).alias("_last"))
+    new = out.where("master_id is null").withColumn("_late", F.col(left_id).isNull())
+    new = with_surrogate(new, ["_late", left_id, right_id], "_n").drop("_late").crossJoin(F.broadcast(last))  # one row
+    new = new.withColumn("master_id", F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.col("_last")).cast("string"), 8, "0"))).drop("_n", "_last")
+    return out.where("master_id is not null").unionByName(new)
+
+
+def reduction(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidate pairs, all pairs of the two sides, and by how much blocking reduced them."""
+    n = pairs.agg(F.count("*").alias("candidates")).crossJoin(left.agg(F.count("*").alias("_l"))).crossJoin(right.agg(F.count("*").alias("_r")))  # single rows
+    possible = F.col("_l").cast("decimal(38,0)") * F.col("_r")
+    return n.select("candidates", possible.alias("possible"), (1 - F.try_divide(F.col("candidates").cast("double"), possible.cast("double"))).alias("reduction"))
+
+
 def evaluate(truth: DataFrame, predicted: DataFrame, on: list[str]) -> DataFrame:
     """tp, fp, fn, precision, recall and f1 of predicted pairs."""
     both = truth.select(*on, F.lit(1).alias("t")).join(predicted.select(*on, F.lit(1).alias("p")), on, "full_outer")

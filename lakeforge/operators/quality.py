@@ -55,3 +55,15 @@ def sequence_breaks(df: DataFrame, stages: list[str]) -> DataFrame:
 
 def orphans(df: DataFrame, key: str, master: DataFrame, master_key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).join(master.select(F.col(master_key).alias(key)).distinct(), key, "left_anti")
+
+
+def with_previous_rate(batches: DataFrame, batch: str, rate: str) -> DataFrame:
+    """Each batch's rate next to that of the batch before. `batches` has one row a batch, so one task orders them."""
+    return batches.withColumn(f"{rate}_before", F.lag(rate).over(Window.orderBy(batch)))
+
+
+def detection(injected: DataFrame, detected: DataFrame) -> DataFrame:
+    """By rule: injected defects, those detected, recall, and detections without an injection. Both: rule_code, business_key."""
+    both = injected.select("rule_code", "business_key", F.lit(True).alias("i")).distinct().join(detected.select("rule_code", "business_key", F.lit(True).alias("d")).distinct(), ["rule_code", "business_key"], "full_outer")
+    n = both.groupBy("rule_code").agg(F.count("i").alias("injected"), F.count_if(F.col("i") & F.col("d")).alias("detected"), F.count_if(F.col("i").isNull()).alias("without_injection"))
+    return n.withColumn("recall", F.try_divide("detected", "injected"))

@@ -9,7 +9,6 @@ from lakeforge.functions.cleaning import row_hash
 from lakeforge.operators.keys import OPEN_END, latest_by_key
 
 
-
 def backfill(snapshots: DataFrame, key: str, tracked: list[str], observed: str, ingested: str) -> DataFrame:
     """Versions from all snapshots: one a key and day, only where a tracked value changed; numbered by key and day."""
     day = snapshots.where(F.trim(F.col(key).cast("string")) != "").withColumn("_day", F.to_date(observed))
@@ -48,6 +47,16 @@ def apply_changes(dim: DataFrame, source: DataFrame, key: str, tracked: list[str
     return closed.drop("_k", "_h", "_seen", "_c").unionByName(fresh, allowMissingColumns=True)
 
 
+def type1(dim: DataFrame, source: DataFrame, key: str, sk: str) -> DataFrame:
+    """The source's values for its keys, under the surrogate keys they have; new ones get the next. Others stay as they are."""
+    keys = dim.select(key, sk)
+    old = source.join(keys, key)
+    last = dim.agg(F.coalesce(F.max(sk), F.lit(0)).alias("_last"))
+    new = with_surrogate(source.join(keys, key, "left_anti"), [key], sk).crossJoin(F.broadcast(last))  # one row
+    new = new.withColumn(sk, F.col(sk) + F.col("_last")).drop("_last")
+    return old.unionByName(new).unionByName(dim.join(source.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def integrity(dim: DataFrame, key: str) -> DataFrame:
     """Broken keys: overlap or gap between neighbouring versions, or not exactly one current."""
     by = Window.partitionBy(key).orderBy("valid_from")

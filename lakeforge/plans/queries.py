@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeforge.functions import cleaning as C
 from lakeforge.operators import keys as K
-from lakeforge.operators import matching, measures, quality, scd2
-
-MONEY = "decimal(18,2)"
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _money(c: str):
-    return F.col(c).cast(MONEY)
+from lakeforge.operators import measures, quality, scd2
+from lakeforge.plans import gold  # noqa: F401, registers its queries
+from lakeforge.plans.registry import QUERIES, SQL, Query, query
+from lakeforge.plans.registry import money as _money
+from lakeforge.plans.registry import table as _t
 
 
 @query("""SELECT strftime(l_shipdate, '%Y%m')::INT AS month_key, l_returnflag, count(*) AS line_count, sum(l_extendedprice::DECIMAL(18,2)) AS amount,
@@ -48,14 +27,12 @@ def latest_order_by_customer(spark, d):
     return K.latest_by_key(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc()])
 
 
-@query("""WITH s AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0), t AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'OLD' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)
- SELECT action, count(*) AS n FROM (SELECT CASE WHEN t.c_custkey IS NULL THEN 'insert' WHEN s.c_custkey IS NULL THEN 'missing' WHEN s.c_mktsegment = t.c_mktsegment THEN 'unchanged' ELSE 'update' END AS action FROM t FULL JOIN s USING (c_custkey)) GROUP BY action""")
+@query("""WITH s AS (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_orderdate < DATE '1998-01-01' GROUP BY 1), t AS (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_orderdate >= DATE '1998-01-01' GROUP BY 1)
+ SELECT action, count(*) AS n FROM (SELECT CASE WHEN s.o_custkey IS NULL THEN 'missing' WHEN t.o_custkey IS NULL THEN 'insert' WHEN s.p = t.p THEN 'unchanged' ELSE 'update' END AS action FROM t FULL JOIN s USING (o_custkey)) GROUP BY action""")
 def upsert_actions(spark, d):
-    """Change-hash classification of an upsert."""
-    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    s = c.where("c_custkey % 5 <> 0").withColumn("_row_hash", C.row_hash(["c_mktsegment"]))
-    t = c.where("c_custkey % 3 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "OLD").otherwise(F.col("c_mktsegment"))).withColumn("_row_hash", C.row_hash(["c_mktsegment"]))
-    return K.classify_changes(t, s, ["c_custkey"]).groupBy("action").agg(F.count("*").alias("n"))
+    """Change-hash classification of an upsert: the customers of the later years as the target, those before as the source."""
+    o = _t(spark, d, "orders").groupBy("o_custkey", (F.col("o_orderdate") < "1998-01-01").alias("early")).agg(F.max("o_orderpriority").alias("p")).withColumn("_row_hash", C.row_hash(["p"]))
+    return K.classify_changes(o.where("not early"), o.where("early"), ["o_custkey"]).groupBy("action").agg(F.count("*").alias("n"))
 
 
 _VERSIONS = """v0 AS (SELECT o_custkey AS k, o_orderstatus AS s, o_orderdate::DATE AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY o_orderkey DESC) = 1),
@@ -74,6 +51,14 @@ def scd2_backfill(spark, d):
     return _versions(spark, d).select("k", "s", "valid_from", "valid_to", "is_current")
 
 
+@query(f"""WITH {_VERSIONS} SELECT count(*) AS broken_whole, (SELECT count(*) FROM (SELECT k FROM v GROUP BY k HAVING count(*) > 1)) AS broken_without_current FROM v WHERE valid_to <= valid_from""")
+def scd2_integrity(spark, d):
+    """No broken key among the versions; each key with several is broken once its current version is taken away."""
+    v = _versions(spark, d)
+    n = lambda x, name: scd2.integrity(x, "k").agg(F.count("*").alias(name))
+    return n(v, "broken_whole").crossJoin(n(v.where("not is_current"), "broken_without_current"))  # two single rows
+
+
 @query(f"""WITH {_VERSIONS}, src AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'X' ELSE 'O' END AS s FROM customer),
 ch AS (SELECT v.k FROM v JOIN src ON v.k = src.k WHERE v.is_current AND v.s <> src.s),
 fresh AS (SELECT src.k, src.s FROM src WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.is_current AND v.k = src.k AND v.s = src.s))
@@ -143,36 +128,20 @@ def pivot_by_flag(spark, d):
     return l.groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("q")).withColumnsRenamed({"A": "a", "N": "n", "R": "r"})
 
 
-@query("""WITH r AS (SELECT 'ORPHAN' AS rule_code, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)) AS v, (SELECT count(*) FROM lineitem) AS e
+@query("""WITH r AS (SELECT 'ORPHAN' AS rule_code, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) AS v, (SELECT count(*) FROM lineitem) AS e
 UNION ALL SELECT 'NEGATIVE', (SELECT count(*) FROM lineitem WHERE l_quantity < 0), (SELECT count(*) FROM lineitem) UNION ALL SELECT 'ROLLBACK', (SELECT count(*) FROM (SELECT o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE o_totalprice < b), (SELECT count(*) FROM orders))
 SELECT rule_code, v AS rows_violated, e AS rows_evaluated, CASE WHEN v = 0 THEN 'PASSED' WHEN v::DOUBLE / e > 0.15 THEN 'SUSPECT' ELSE 'FAILED' END AS status FROM r""")
 def quality_rules(spark, d):
     """Rules as data: an orphan rule, a range rule and a monotonicity rule."""
     tables = {"lineitem": _t(spark, d, "lineitem"), "orders": _t(spark, d, "orders")}
     rules = [
-        quality.Rule("ORPHAN", "lineitem", "critical", lambda t: quality.orphans(t["lineitem"], "l_orderkey", t["orders"].where("o_orderkey % 50 <> 0"), "o_orderkey").select(F.col("l_orderkey").alias("business_key"), F.lit("no order").alias("detail"))),
+        quality.Rule("ORPHAN", "lineitem", "critical", lambda t: quality.orphans(t["lineitem"], "l_orderkey", t["orders"].where("o_orderstatus <> 'P'"), "o_orderkey").select(F.col("l_orderkey").alias("business_key"), F.lit("no order").alias("detail"))),
         quality.Rule("NEGATIVE", "lineitem", "critical", lambda t: t["lineitem"].where("l_quantity < 0").select(F.col("l_orderkey").alias("business_key"), F.col("l_quantity").alias("detail"))),
         quality.Rule("ROLLBACK", "orders", "warning", lambda t: quality.rollbacks(t["orders"].withColumn("_at", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "_at", "o_totalprice").select(F.col("o_orderkey").alias("business_key"), F.col("previous").alias("detail"))),
     ]
     return quality.run_rules(tables, rules)[0].select("rule_code", "rows_violated", "rows_evaluated", "status")
 
 
-@query("""WITH a AS (SELECT c_custkey AS a_id, upper(substr(c_name, 1, 6)) || '|' || c_nationkey AS block, c_name AS n, c_nationkey AS c FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 400),
-b AS (SELECT c_custkey AS b_id, upper(substr(c_name, 1, 6)) || '|' || c_nationkey AS block, c_name AS n, c_nationkey AS c FROM customer WHERE c_custkey % 2 = 1 AND c_custkey < 400),
-p AS (SELECT a_id, b_id, CASE WHEN a.n = b.n THEN 25 WHEN levenshtein(a.n, b.n) <= 3 AND length(a.n) > 8 THEN 12 ELSE 0 END + 8 AS score FROM a JOIN b USING (block)),
-w AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS l, row_number() OVER (PARTITION BY b_id ORDER BY score DESC, a_id) AS r FROM p WHERE score >= 15)
-SELECT a_id, b_id, score FROM w WHERE l = 1 AND r = 1""")
-def customer_matching(spark, d):
-    """Two halves of the customers: blocking, scoring, mutual best match."""
-    c = _t(spark, d, "customer").where("c_custkey < 400").select("c_custkey", F.col("c_name").alias("n"), F.col("c_nationkey").cast("string").alias("c"), F.concat(F.upper(F.substring("c_name", 1, 6)), F.lit("|"), F.col("c_nationkey").cast("string")).alias("block"))
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("a_id"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), "block")
-    b = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("b_id"), F.col("n").alias("b_n"), F.col("c").alias("b_c"), "block")
-    none = (F.lit(None).cast("string"), F.lit(None).cast("string"))
-    pairs = matching.candidates(a, b, ["block"], "a_id", "b_id").join(a.drop("block"), "a_id").join(b.drop("block"), "b_id")
-    scored = pairs.withColumn("score", matching.score(none, none, none, (F.col("a_n"), F.col("b_n")), (F.col("a_c"), F.col("b_c")), none))
-    return matching.mutual_best(scored, "a_id", "b_id", 15).select("a_id", "b_id", "score")
-
-
 @query("""WITH s AS (SELECT c_custkey AS k, 'TR' || lpad(c_custkey::VARCHAR, 9, '0') AS id, '+90 5' || lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS p, lower(replace(c_name, '#', '.')) || '@mail.example' AS m FROM customer)
 SELECT k, substr(id, 1, 3) || '*****' || right(id, 3) AS id_masked, substr(regexp_replace(p, '[^0-9]', '', 'g'), 1, 4) || '*****' || right(p, 2) AS phone_masked, m[1] || '***@mail.example' AS mail_masked, sha256('salt' || id) AS id_hash, right(regexp_replace(p, '[^0-9]', '', 'g'), 10) AS phone_key FROM s""")
 def mask_customers(spark, d):
@@ -191,11 +160,11 @@ def date_dimension(spark, d):
     return measures.date_dimension(spark, "2022-01-01", "2027-12-31", holidays)
 
 
-@query("""SELECT l_partkey AS k, min(l_shipdate)::DATE AS valid_from FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0) GROUP BY 1""")
+@query("""SELECT l_partkey AS k, min(l_shipdate)::DATE AS valid_from FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY') GROUP BY 1""")
 def inferred_parts(spark, d):
     """Late-arriving members from the first day that a fact names them."""
     seen = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.to_date("l_shipdate").alias("seen"))
-    return scd2.inferred_members([seen], _t(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k")), "k").select("k", "valid_from")
+    return scd2.inferred_members([seen], _t(spark, d, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("k")), "k").select("k", "valid_from")
 
 
 @query("""WITH f AS (SELECT DISTINCT (l_discount > 0.05)::INT AS discounted, (l_tax = 0)::INT AS tax_free, (l_quantity > 40)::INT AS bulk FROM lineitem)
@@ -231,8 +200,8 @@ def delivery_bands(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
