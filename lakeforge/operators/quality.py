@@ -67,3 +67,12 @@ def detection(injected: DataFrame, detected: DataFrame) -> DataFrame:
     both = injected.select("rule_code", "business_key", F.lit(True).alias("i")).distinct().join(detected.select("rule_code", "business_key", F.lit(True).alias("d")).distinct(), ["rule_code", "business_key"], "full_outer")
     n = both.groupBy("rule_code").agg(F.count("i").alias("injected"), F.count_if(F.col("i") & F.col("d")).alias("detected"), F.count_if(F.col("i").isNull()).alias("without_injection"))
     return n.withColumn("recall", F.try_divide("detected", "injected"))
+
+
+def reconcile(log: DataFrame) -> DataFrame:
+    """By batch: steps, rows read and written, and a status. `log`: batch_id, step, status, rows_read, rows_written.
+
+    A batch with a failed step is FAILED, one with a step that has not ended RUNNING, else SUCCEEDED.
+    """
+    status = F.when(F.count_if(F.col("status") == "FAILED") > 0, "FAILED").when(F.count_if(F.col("status") == "RUNNING") > 0, "RUNNING").otherwise("SUCCEEDED")
+    return log.groupBy("batch_id").agg(F.count("*").alias("steps"), F.sum("rows_read").alias("rows_read"), F.sum("rows_written").alias("rows_written"), status.alias("status"))

@@ -123,8 +123,8 @@ def with_audit(df: DataFrame, feed: Feed, batch_id: str) -> DataFrame:
 def replace_batch(df: DataFrame, path: str) -> int:
     """Appends a batch, replacing an earlier run of the same one; returns the rows that are there now."""
     df.write.mode("overwrite").partitionBy("_batch_id").option("partitionOverwriteMode", "dynamic").parquet(path)
-    batches = [r[0] for r in df.select("_batch_id").distinct().limit(100).collect()]
-    return df.sparkSession.read.parquet(path).where(F.col("_batch_id").cast("string").isin(batches)).count()
+    there = df.sparkSession.read.parquet(path).withColumn("_batch_id", F.col("_batch_id").cast("string"))
+    return there.join(df.select("_batch_id").distinct(), "_batch_id", "left_semi").count()
 
 
 def new_watermark(old: str | None, new: str | None) -> str | None:
