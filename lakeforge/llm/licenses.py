@@ -1,14 +1,20 @@
 """Licence scans by sentence rules: known sentences to identifiers, identifier sequences to licences.
 
-A text's sentences are normalised (lower case, letters and digits, single spaces) and
-those in the sentence table become identifiers. A rule is an ordered list of
-identifiers; it holds where the text's identifiers have that list in a row (sentences
-that aren't in the table may stand between). Built-in functions on one row at a time:
-no shuffle, no Python on the executors.
+A text is cut into fragments at marks and line ends, which are normalised (lower case,
+letters and digits, single spaces). A known sentence stands in a text where fragments in
+a row make it up, be it one or many: sentences hold marks (`; without`, `v. 2.0`) and
+wrapped lines, with comment marks or without. A rule is an ordered list of identifiers; it
+holds where the text's sentences have that list in a row (fragments that are no part of a
+known sentence may stand between). Built-in functions on one row at a time: no shuffle, no
+Python on the executors.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +72,8 @@ RULES = {
     "cc0-1.0.notice": ("CC0-1.0", ["cc0.notice"]),
     "mpl-2.0.notice": ("MPL-2.0", ["mpl2.notice"]),
 }
-_BREAK = "\u0001"
+_BREAK, _SOFT = "\u0001", "\u0002"
+_FAR = 2**31 - 1
 _END = r"[.!?;:]+(?:\s+|$)|[\r\n]+"
 
 
@@ -79,6 +86,11 @@ def sentences(text: Column) -> Column:
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
     """Each rule that holds in a text: id_col, rule, license, first_sentence (from 0, at its first match), n_sentences.
 
+    A known sentence starts and ends at cuts, or where a rule's next sentence follows without one (a text on a single
+    line). All that stand in a text count, also one within another; the next sentence of a rule must start after the
+    last one's end, and no known sentence may stand between. first_sentence is the number of the fragment, as
+    `sentences` numbers them, at which the rule's first sentence starts.
+
     Every rule that holds is returned, once a text, also one that is part of a longer one. A null or empty text has
     no sentence. One set of rows per input row, whatever its id; other columns don't take part; an empty table, or
     no rules, gives no rows.
@@ -88,15 +100,61 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not by_text or not rules:
         return df.select(id_col, F.lit("").alias("rule"), F.lit("").alias("license"), F.lit(0).alias("first_sentence"), F.lit(0).alias("n_sentences")).where("false")
     table = F.create_map(*(F.lit(x) for kv in by_text.items() for x in kv))
-    listed = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "|".join(ids) + "|").alias("ids"), F.lit(len(ids)).alias("n_sentences")) for name, (lic, ids) in rules.items()))
-    numbered = F.transform(sentences(F.col(text_col)), lambda s, i: F.struct(i.alias("at"), s.alias("s")))
-    found = df.select(F.col(id_col).alias("id"), F.filter(numbered, lambda x: x["s"].isin(list(by_text))).alias("hits")).where(F.size("hits") > 0)
-    # one identifier a hit, each between bars; a hit's number is the count of bars before it
-    named = found.select("id", "hits", F.concat(F.lit("|"), F.array_join(F.transform("hits", lambda x: table[x["s"]]), "|"), F.lit("|")).alias("ids"))
-    held = named.select("id", "hits", "ids", F.explode(F.filter(listed, lambda r: F.contains(F.col("ids"), r["ids"]))).alias("r"))
-    before = F.expr("substring(ids, 1, locate(r.ids, ids))")
-    number = F.length(before) - F.length(F.replace(before, F.lit("|"), F.lit("")))
-    return held.select(F.col("id").alias(id_col), "r.rule", "r.license", F.element_at("hits", number.cast("int"))["at"].alias("first_sentence"), "r.n_sentences")
+    listed = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.array(*map(F.lit, ids)).alias("ids"), F.lit(len(ids)).alias("n_sentences")) for name, (lic, ids) in rules.items()))
+    # Only texts whose words hold a known sentence's, whatever stands between them, go on.
+    least = [k for k in by_text if not any(o != k and o in k for o in by_text)]
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    some = df.where(F.exists(F.array(plain), lambda p: reduce(or_, (F.contains(p, F.lit(k)) for k in least))))
+    held = some.select(F.col(id_col).alias("id"), F.explode(F.transform(F.array(_hits(_pieces(F.col(text_col), known, rules), table, by_text)), _with_next)).alias("hits"))
+    held = held.select("id", "hits", F.explode(F.filter(listed, lambda r: F.size(F.array_except(r["ids"], F.col("hits")["id"])) == 0)).alias("r"))
+    held = held.select("id", "r.rule", "r.license", F.array_min(_chains(F.col("hits"), F.col("r.ids"))["at"]).alias("first_sentence"), "r.n_sentences")
+    return held.where("first_sentence is not null").withColumnRenamed("id", id_col)
+
+
+def _pieces(text: Column, known: dict[str, str], rules: dict[str, tuple[str, list[str]]]) -> Column:
+    """(at, s): fragments with their numbers, without empty ones, also cut where a rule's next sentence follows."""
+    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _END, _BREAK)
+    cut = F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}{_BREAK}]+", " ")
+    loose = lambda sid: f"[ {_BREAK}]+".join(map(re.escape, known[sid].split()))
+    for a, b in sorted({p for _, ids in rules.values() for p in zip(ids, ids[1:]) if p[0] in known and p[1] in known}):
+        cut = F.regexp_replace(cut, rf"(?<![\p{{L}}\p{{N}}])({loose(a)}) (?={loose(b)}(?![\p{{L}}\p{{N}}]))", f"$1{_SOFT}")
+    parts = F.transform(F.split(cut, _BREAK), lambda s, i: F.transform(F.split(s, _SOFT), lambda x: F.struct(i.alias("at"), F.trim(x).alias("s"))))
+    return F.filter(F.flatten(parts), lambda x: x["s"] != "")
+
+
+def _hits(pieces: Column, table: Column, by_text: dict[str, str]) -> Column:
+    """(lo, hi, at, id) of each run of pieces lo to hi that is a known sentence."""
+    keys, most = F.array(*map(F.lit, by_text)), max(len(k.split()) for k in by_text)
+
+    def runs(all_pieces: Column, lo: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(all_pieces) - lo)), lambda n: F.struct(lo.alias("lo"), (lo + n - 1).alias("hi"), F.get(all_pieces, lo)["at"].alias("at"), table[F.array_join(F.slice(all_pieces, lo + 1, n)["s"], " ")].alias("id")))
+        return F.filter(made, lambda h: h["id"].isNotNull())
+
+    def of(all_pieces: Column) -> Column:
+        begun = F.filter(F.transform(all_pieces, lambda x, i: F.struct(i.alias("i"), x["s"].alias("s"))), lambda x: F.exists(keys, lambda k: F.startswith(F.concat(k, F.lit(" ")), F.concat(x["s"], F.lit(" ")))))
+        return F.flatten(F.transform(begun["i"], lambda i: runs(all_pieces, i)))
+
+    return F.flatten(F.transform(F.array(pieces), of))
+
+
+def _with_next(hits: Column) -> Column:
+    """Hits with `next`: up to there the next sentence of a row starts."""
+    ends = lambda y: F.array_min(F.filter(hits, lambda z: z["lo"] > y["hi"])["hi"])
+    return F.transform(hits, lambda y: F.struct(y["lo"].alias("lo"), y["hi"].alias("hi"), y["at"].alias("at"), y["id"].alias("id"), F.coalesce(ends(y), F.lit(_FAR)).alias("next")))
+
+
+def _chains(hits: Column, ids: Column) -> Column:
+    """Rows of hits with these ids, by last hit: (at of the first hit, where a next hit may start)."""
+
+    def step(chains: Column, sid: Column) -> Column:
+        def longer(y: Column) -> Column:
+            first = F.array_min(F.transform(F.filter(chains, lambda x: (y["lo"] >= x["least"]) & (y["lo"] <= x["most"])), lambda x: F.coalesce(x["at"], y["at"])))
+            return F.struct(first.alias("at"), (y["hi"] + 1).alias("least"), y["next"].alias("most"))
+
+        return F.filter(F.transform(F.filter(hits, lambda y: y["id"] == sid), longer), lambda x: x["at"].isNotNull())
+
+    start = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("least"), F.lit(_FAR).alias("most"))).cast("array<struct<at:int,least:int,most:int>>")
+    return F.aggregate(ids, start, step)
 
 
 def oracle() -> str:
