@@ -21,8 +21,10 @@ from lakeforge.llm.queries import CATEGORIES
 from lakeforge.llm.substring_bytes import dedup_byte_strings
 from lakeforge.llm.toxicity import classify
 
-#: Passages of some 50 words and more.
-PASSAGE_BYTES = 260
+#: Repeated passages of more than so many words, or so many bytes where words are long or not spaced, are cut.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 259
+#: No passage of more than PASSAGE_WORDS words is shorter.
+SHORTEST = 2 * PASSAGE_WORDS + 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; a document that is left without words goes."""
-    kept = dedup_byte_strings(docs, length=PASSAGE_BYTES, keep=[c for c in docs.columns if c != "text"])
+    kept = dedup_byte_strings(docs, length=SHORTEST, only_over=(PASSAGE_WORDS, PASSAGE_BYTES), keep=[c for c in docs.columns if c != "text"])
     # A cut may leave part of a character, which is no text any more.
     whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     out = kept.withColumn("text", F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string")))

@@ -61,9 +61,12 @@ def _chosen(pre: Prefix, off: np.ndarray, length: int, q: int) -> tuple[np.ndarr
     return place[at], starts[at], starts[np.concatenate([at[1:] - 1, [len(starts) - 1]])], text[at]
 
 
-def dedup_byte_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, q: int | None = None, keep: list[str] | None = None) -> DataFrame:
+def dedup_byte_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, q: int | None = None, keep: list[str] | None = None, only_over: tuple[int, int] | None = None) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts anywhere else.
 
+    With `only_over` (words, bytes), of the runs of neighbouring starts of such strings, those go that span more than
+    so many whole words (between white space) or more than so many bytes; a repeated string is part of one run.
+
     "Elsewhere" includes the same document; overlaps count; strings are judged on the input and never
     cross documents. Texts are UTF-8; null text is empty. Returns id_col, the columns `keep`, n_bytes,
     n_removed, n_spans (maximal removed runs) and kept (binary: what remains, in order). One row per input
@@ -160,6 +163,13 @@ def dedup_byte_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = Texts(table[text_col])
         found = cells(texts, have, len(sizes), block)
         a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        if only_over is not None:
+            # texts are apart here: the last start of one is `length` before the next one's first
+            edge = np.flatnonzero(np.diff(covered(a, b - length + 1, len(texts.data)).astype(np.int8), prepend=0, append=0))
+            a, b, words = edge[::2], edge[1::2] - 1 + length, texts.words()
+            n_words = np.searchsorted(words.end, b, "right") - np.searchsorted(words.start, a, "left")
+            worth = (n_words > only_over[0]) | (b - a > only_over[1])
+            a, b = a[worth], b[worth]
         gone = covered(a, b, len(texts.data))
         total = np.concatenate([[0], np.cumsum(gone)])
         rise = gone.copy()
