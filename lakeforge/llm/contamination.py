@@ -1,14 +1,19 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index blocks, exact check.
+"""Benchmark passages in documents: a lossless shingle gate, shared shingles by place, exact check.
 
-Windows of as many words as an item has slide over a document. A window and an item of
-that size are candidates if their 64-bit SimHash fingerprints (of word counts) differ in
-at most `radius` bits: of radius + 1 blocks of a fingerprint at least one is then equal,
-so a join on (size, block, value) finds all of them. Candidates are checked by the exact
-weighted Jaccard similarity of their word shingles (weights: how often each occurs).
+Windows of as many words as an item has slide over a document. The similarity of a window
+and an item is the weighted Jaccard similarity of their word shingles (weights: how often
+each occurs), so a window of similarity `threshold` shares a least number of shingles with
+its item. Three steps use that, and none loses a window:
 
-Windows are made only where they can matter: a window of similarity `threshold` shares
-so many shingles with its item that one of every few neighbouring shingles is an item's.
-Documents are probed at that stride. The gate loses nothing and yields no result itself.
+1. One of every few neighbouring shingles of such a window is an item's. Documents are
+   probed at that stride, and only those with a hit go on.
+2. All their shingles meet the items that have them. In a window, as many places as it must
+   share at least are such places, so only starts of windows with so many are left.
+3. There the shared shingles are counted.
+
+SimHash fingerprints of the windows' words chose the candidates before. No radius keeps all:
+a window that lacks the few words at an end which 0.8 allows may differ from its item in
+24 of 64 bits, and bits that such a change can't turn are too few to rule anything out.
 
 All steps are built-in functions and joins; the planner broadcasts a side only below its
 size limit and sorts and merges beyond it.
@@ -21,8 +26,6 @@ from pyspark.sql import functions as F
 
 from lakeforge.llm.blocks import checkpoint
 
-BITS = 64
-
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; one empty word if there are none."""
@@ -38,39 +41,6 @@ def _shingles(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: _shingle(w, i, k))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _lanes() -> list[Column]:
-    """Sums of the bits of h, four bits in one long with 16 bits each."""
-    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))
-    out = []
-    for j in range(0, BITS, 4):
-        lane = bit(j)
-        for i in range(1, 4):
-            lane = lane.bitwiseOR(F.shiftleft(bit(j + i), 16 * i))
-        out.append(F.sum(lane).alias(f"s{j // 4}"))
-    return out
-
-
-def _fingerprint() -> Column:
-    """Bit b is set where more than half of the words have it."""
-    out = F.lit(0).cast("long")
-    for b in range(BITS):
-        count = F.shiftrightunsigned(f"s{b // 4}", 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        out = out.bitwiseOR(F.shiftleft((count * 2 > F.col("n")).cast("long"), b))
-    return out
-
-
-def simhash(df: DataFrame, keys: list[str], words_col: str) -> DataFrame:
-    """keys, n (words) and fp of each group of rows with these keys; up to 32,767 words a row."""
-    exploded = df.select(*keys, F.explode(words_col).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
-    return exploded.groupBy(*keys).agg(F.count("*").alias("n"), *_lanes()).select(*keys, "n", _fingerprint().alias("fp"))
-
-
-def _blocks(radius: int) -> Column:
-    """(number, value) of each of radius + 1 blocks of fp."""
-    edges = [b * BITS // (radius + 1) for b in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long")).alias("value")) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-
-
 def find_contamination(
     df: DataFrame,
     items: DataFrame,
@@ -80,7 +50,6 @@ def find_contamination(
     item_text_col: str = "text",
     shingle: int = 5,
     threshold: float = 0.8,
-    radius: int = 12,
 ) -> DataFrame:
     """The best window of each document for each item that it holds: id_col, item_id, start_word, n_words, similarity.
 
@@ -94,7 +63,7 @@ def find_contamination(
     tests = tests.withColumn("size", F.size("iw")).where("iw[0] != ''").withColumn("k", F.least("size", F.lit(shingle)))
     tests = tests.withColumn("item", F.xxhash64("item_id", "iw"))
     docs = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    pieces, places = None, None
+    pieces, probed, places = None, None, None
     # Widths below `shingle` only where items are that short; a handful of numbers.
     widths = sorted((r["k"], r["least"]) for r in tests.groupBy("k").agg(F.min("size").alias("least")).collect())
     if not widths:
@@ -103,45 +72,55 @@ def find_contamination(
         # of n shingles at most n * lost can be missing in a similar window
         lost, n = (1 - threshold), least - k + 1
         stride = next(s for s in (4, 3, 2, 1) if s == 1 or all(x // s > int(x * lost / (1 + lost) * 2 + 1e-9) for x in range(n, n + 400)))
-        at = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        part = F.transform(at, _placed(k))
-        own = tests.where(F.col("k") == k)
-        piece = own.select("size", "k", F.explode(_shingles(F.col("iw"), k)).alias("h")).distinct()
-        places = part if places is None else F.concat(places, part)
-        pieces = piece if pieces is None else pieces.unionByName(piece)
-    probes = docs.select("key", F.explode(places).alias("p")).select("key", "p.*")
-    hits = probes.join(pieces, "h").groupBy("key").agg(F.collect_set(F.struct("pos", "size", "k")).alias("hits"))
+        own = tests.where(F.col("k") == k).withColumn("b", _shingles(F.col("iw"), k)).drop("iw")
+        pieces = own if pieces is None else pieces.unionByName(own)
+        few, all_ = (_placed(k, step) for step in (stride, 1))
+        probed = few if probed is None else F.concat(probed, few)
+        places = all_ if places is None else F.concat(places, all_)
+    known = pieces.select("item", F.explode(F.array_distinct("b")).alias("h"))
+    keys = docs.select("key", F.explode(probed).alias("p")).select("key", "p.h").join(known.select("h").distinct(), "h", "left_semi").select("key").distinct()
     # Only documents with an item's shingle go on; their texts move once.
     texts = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    gated = checkpoint(texts.join(hits, "key").select("key", "id", words(F.col("text")).alias("w"), "hits"))
-    last = lambda x: F.greatest(F.size("w") - x["size"], F.lit(0))
-    starts = F.transform("hits", lambda x: F.transform(
-        F.sequence(F.least(F.greatest(x["pos"] - x["size"] + x["k"], F.lit(0)), last(x)), F.least(x["pos"], last(x))),
-        lambda s: F.struct(x["size"].alias("size"), s.alias("start"))))
-    windows = gated.select("key", "w", F.explode(F.array_distinct(F.flatten(starts))).alias("x")).select("key", "x.size", "x.start", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("ww"))
-    prints = simhash(windows, ["key", "size", "start"], "ww").select("key", "size", "start", "fp", F.explode(_blocks(radius)).alias("x"))
-    ours = simhash(tests, ["item", "size"], "iw").select("item", "size", F.col("fp").alias("ifp"), "fp", F.explode(_blocks(radius)).alias("x")).drop("fp")
-    prints, ours = (x.select("*", "x.b", "x.value").drop("x") for x in (prints, ours))
-    pairs = prints.join(ours, ["size", "b", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("key", "size", "start", "item").distinct()
-    # exact: multisets of shingles
-    chosen = pairs.join(gated.select("key", "id", "w"), "key").withColumn("ww", F.slice("w", F.col("start") + 1, F.col("size")))
-    chosen = chosen.drop("w").join(tests.select("item", "k", "item_id", "iw"), "item")
-    sets = None
-    for k, _ in widths:
-        part = chosen.where(F.col("k") == k).select("key", "id", "size", "start", "item", "item_id", _shingles(F.col("ww"), k).alias("a"), _shingles(F.col("iw"), k).alias("b"))
-        sets = part if sets is None else sets.unionByName(part)
-    # Both windows are item-sized, so a row stays small; equal shingles are counted by value.
-    both = F.size("a") + F.size("b")
-    shared = F.aggregate(F.array_distinct("a"), F.lit(0), lambda acc, h: acc + F.least(_count("a", h), _count("b", h)))
-    scored = sets.select("key", "id", "size", "start", "item_id", both.alias("both"), shared.alias("shared")).where("both > shared")
-    scored = scored.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("key", "item_id").agg(F.first("id").alias("id"), F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("m"))
-    return best.select(F.col("id").alias(id_col), "item_id", (-F.col("m.s")).alias("start_word"), F.col("m.size").alias("n_words"), F.col("m.similarity").alias("similarity"))
-
-
-def _placed(k: int):
-    return lambda i: F.struct(i.alias("pos"), _shingle(F.col("w"), i, k).alias("h"))
-
-
-def _count(array: str, h: Column) -> Column:
-    return F.size(F.filter(array, lambda x: x == h))
+    gated = checkpoint(texts.join(keys, "key").dropDuplicates(["key"]).select("key", "id", words(F.col("text")).alias("w")))
+    hits = gated.select("key", "id", F.size("w").alias("n"), F.explode(places).alias("p")).select("key", "id", "n", "p.*").join(known, "h")
+    pairs = hits.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hits"))
+    # a and b: shingles of a window and of the item; a window that is similar shares `need`
+    pairs = pairs.join(pieces, "item").withColumn("both", F.least("size", "n") - F.col("k") + 1 + F.size("b"))
+    pairs = pairs.withColumn("a", F.col("both") - F.size("b")).withColumn("need", F.greatest(F.ceil(F.col("both") * (threshold / (1 + threshold)) - 1e-6).cast("int"), F.lit(1)))
+    pairs = pairs.where(F.size("hits") >= F.col("need")).select("key", "id", "item_id", F.least("size", "n").alias("n_words"), "both", F.array_max(_windows()).alias("m")).where("m is not null")
+    scored = pairs.withColumn("similarity", F.col("m.shared") / (F.col("both") - F.col("m.shared"))).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("key", "item_id").agg(F.first("id").alias("id"), F.max(F.struct("similarity", "m.s", "n_words")).alias("m"))
+    return best.select(F.col("id").alias(id_col), "item_id", (-F.col("m.s")).alias("start_word"), F.col("m.n_words").alias("n_words"), F.col("m.similarity").alias("similarity"))
+
+
+def _placed(k: int, stride: int) -> Column:
+    """(pos, h) of every stride-th shingle of w."""
+    at = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), _shingle(F.col("w"), i, k).alias("h")))
+
+
+def _windows() -> Column:
+    """(shared, -start) of the windows of a shingles that have `need` places among `hits`, which are sorted."""
+    hits, a, need = F.col("hits"), F.col("a"), F.col("need")
+    place = lambda j: F.get(hits, j)["pos"]
+
+    def starting(j: Column) -> Column:
+        """Windows whose first hit is the j-th."""
+        low = F.greatest(place(j + need - 1) - a + 1, F.coalesce(place(j - 1), F.lit(-1)) + 1)
+        high = F.least(place(j), F.col("n") - F.col("k") + 1 - a)
+        starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(_shared(F.filter(F.slice(hits, j + 1, a), lambda x: x["pos"] < s + a)["h"]).alias("shared"), (-s).alias("s")))
+
+    # optimised plans may come here before the filter
+    return F.when(F.size(hits) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - need), starting)))
+
+
+def _shared(found: Column) -> Column:
+    """How many of a window's shingles that are an item's it shares: equal ones are counted by value, where there are any."""
+    count = lambda array, h: F.size(F.filter(array, lambda x: x == h))
+
+    def of(w: Column) -> Column:
+        once = F.array_distinct(w)
+        return F.when(F.size(once) == F.size(w), F.size(w)).otherwise(F.aggregate(once, F.lit(0), lambda acc, h: acc + F.least(count(w, h), count(F.col("b"), h))))
+
+    return F.get(F.transform(F.array(found), of), F.lit(0))
