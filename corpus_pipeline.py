@@ -41,7 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; a document that is left without words goes."""
+    """Repeated passages are cut out of the texts; a document that is left without words goes.
+
+    No copy is kept, not the first either: a passage that documents share is in none of them afterwards.
+    """
     kept = dedup_byte_strings(docs, length=SHORTEST, only_over=(PASSAGE_WORDS, PASSAGE_BYTES), keep=[c for c in docs.columns if c != "text"])
     # A cut may leave part of a character, which is no text any more.
     whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
