@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeforge.llm.blocks import ensure_checkpoint_dir
+from lakeforge.llm.blocks import checkpoint, ensure_checkpoint_dir
 from lakeforge.llm.contamination import find_contamination
 from lakeforge.llm.jaccard_join import near_duplicates
 from lakeforge.llm.pieces import encode_documents
@@ -25,6 +25,13 @@ from lakeforge.llm.toxicity import classify
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 259
 #: No passage of more than PASSAGE_WORDS words is shorter.
 SHORTEST = 2 * PASSAGE_WORDS + 1
+#: A row's number within a stage: stages decide by row, whatever its doc_id.
+ROW = "row_of_stage"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Written once, so that a row has one number wherever the stage reads it."""
+    return checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +41,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a similarity of 0.8 or more by 5-word shingles, the one with the least id stays."""
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts with a similarity of 0.8 or more by 5-word shingles, the one with the least id stays.
+
+    One row of it, that is, of rows with that id; null ids come last.
+    """
+    rows = _numbered(docs)
+    groups = near_duplicates(rows, id_col=ROW, shingle=5, percent=80).select(ROW, "component_id")
+    # alone in its group: stays; most rows are, and are not joined
+    many = groups.where(F.col(ROW) != F.col("component_id"))
+    members = many.unionByName(many.select(F.col("component_id").alias(ROW), "component_id").distinct())
+    ranked = members.join(rows.select(ROW, "doc_id"), ROW).select("component_id", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW).alias("at"))
+    stays = ranked.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at")[ROW].alias(ROW))
+    gone = members.select(ROW).join(stays, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +72,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).select(ROW).distinct()
+    return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

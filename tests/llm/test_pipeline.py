@@ -27,3 +27,16 @@ def test_repeated_passages_of_over_50_short_words_are_cut(spark):
             assert (passage in got[d]) == (name in stays), name
             before, after = rows[d][1].split(passage)
             assert got[d].startswith(before.strip()) and got[d].endswith(after.strip())
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e, f, item = (text() for _ in range(7))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = lambda run, rows: sorted(map(str, map(tuple, run(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path)).collect())))
+    said = lambda rows: sorted(map(str, rows))
+    copies = [(1, a), (1, a), (None, a), (None, b), (None, b), (3, c), (2, c + " x"), (2, d), (5, e), (4, e), (6, f), (None, None), (8, None), (8, "")]
+    assert stage(corpus_pipeline.drop_near_copies, copies) == said([(1, a), (None, b), (2, c + " x"), (2, d), (4, e), (6, f), (None, None), (8, None), (8, "")])
+    dirty = [(None, item), (1, "z " + item), (1, a), (None, b), (2, c), (2, c), (None, None), (3, "")]
+    assert stage(corpus_pipeline.drop_contaminated, dirty) == said([(1, a), (None, b), (2, c), (2, c), (None, None), (3, "")])
