@@ -10,16 +10,17 @@ are equal (pigeonhole). Sets that share enough words are candidates; their shing
 
 A word is kept in two widths. The join needs words that are seldom equal by chance, so
 its words have 2**64 places, of which the fingerprint (the XOR of the flipped places'
-codes) stands for the word. Sketches that are sent to be compared have 64 places a word, folded.
+codes) stands for the word. Sketches that are compared have 64 places a word, folded at first.
 
 Components, not pairs, are asked for:
 
 1. Each class is tested against a leader or two, found by its few least words.
 2. Blocks ask by all words which of them are in several components still. A set with
    fewer of those in a band than it must share with any link there has no more links there.
-3. The others give their words, but for so many of the largest as they must share, and
-   the sketches of sets of different components that share one are compared, chunk by
-   chunk; pairs within the Hamming bound are verified.
+3. The others give their words, but for so many of the largest as they must share. Sets that share one with
+   sets of another component are grouped by the least id among them; a task holds some groups with their sets,
+   compares the sketches, verifies the pairs within the Hamming bound, and returns links that join components
+   only: fewer than it has sets, however many pairs are similar.
 
 Every pair is then connected, ruled out by its words or sketches, or tested: no link is lost.
 """
@@ -82,19 +83,19 @@ class Bands:
         return np.searchsorted(self.edges, size, side="right") - 1
 
 
-def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, step: int, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band of each set (its own, or with step 1 the next), its number of words there (0 if empty), and all words.
+def part_of(h: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    return (mix(h ^ U64(0x5851F42D4C957F2D)) % np.asarray(parts, U64)).astype(np.int64)
 
-    Wide words are given by their fingerprints, others have 64 places.
-    """
+
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band of each set (its own, or with step 1 the next), its number of words there (0 if empty), and all wide words."""
     band = bands.of(np.maximum(size, 1)) + step
     parts = np.where(size > 0, bands.parts[np.minimum(band, len(bands.parts) - 1)], 0)
     base = np.cumsum(parts) - parts
     word = np.zeros(int(parts.sum()), U64)
     some = parts[row] > 0
     row, h = row[some], h[some]
-    at = base[row] + (mix(h ^ U64(0x5851F42D4C957F2D)) % parts[row].astype(U64)).astype(np.int64)
-    np.bitwise_xor.at(word, at, mix(h + U64(0x14057B7EF767814F)) if wide else U64(1) << (h >> U64(58)))
+    np.bitwise_xor.at(word, base[row] + part_of(h, parts[row]), mix(h + U64(0x14057B7EF767814F)))
     return band, parts, word
 
 
@@ -107,7 +108,7 @@ def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands)
     """
     out = []
     for step in (0, 1):
-        band, parts, word = sketches(row, h, size, bands, step, wide=True)
+        band, parts, word = sketches(row, h, size, bands, step)
         owner = np.repeat(np.arange(len(size)), parts)
         part = np.arange(len(word)) - (np.cumsum(parts) - parts)[owner]
         zeros = np.bincount(owner[word == 0], minlength=len(size))
@@ -133,26 +134,105 @@ def unplanes(a: np.ndarray) -> np.ndarray:
 FOLD = 8
 
 
-def fold(word: np.ndarray) -> np.ndarray:
-    """An eighth of the words, each the XOR of eight: a coarser parity sketch, whose distances are bounds as well."""
-    n = -(-len(word) // FOLD)
-    return np.bitwise_xor.reduce(np.concatenate([word, np.zeros(FOLD * n - len(word), U64)]).reshape(FOLD, n), axis=0)
+def fold(words: np.ndarray) -> np.ndarray:
+    """An eighth of each row's words, each the XOR of eight: a coarser parity sketch, whose distances are bounds as well."""
+    n = -(-words.shape[1] // FOLD)
+    padded = np.concatenate([words, np.zeros((len(words), FOLD * n - words.shape[1]), U64)], axis=1)
+    return np.bitwise_xor.reduce(padded.reshape(len(words), FOLD, n), axis=1)
+
+
+def parities(sets: list[np.ndarray], parts: int) -> np.ndarray:
+    """A row of `parts` words of 64 places for each set."""
+    row, h = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    word = np.zeros(len(sets) * parts, U64)
+    np.bitwise_xor.at(word, row * parts + part_of(h, parts), U64(1) << (h >> U64(58)))
+    return word.reshape(len(sets), parts)
+
+
+class Union:
+    """Components within a task."""
+
+    def __init__(self, label: np.ndarray):
+        self.up = label
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
 
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[b] = a
+        return a != b
 
-def close_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits) where row i of `a` and row j of `b` differ in at most `most` bits and `apart[i, j]` holds.
+    def roots(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
 
-    Without `every`, of each i only the nearest j.
+
+#: Pairs of sketches that are compared at a time, and bytes of sets in a chunk of a large group.
+PAIRS, CHUNK_BYTES = 1 << 20, 16 << 20
+
+
+def spanning_links(sets: list[np.ndarray], comp: np.ndarray, one: np.ndarray, two: np.ndarray, bands: Bands, percent: int) -> list[tuple[int, int]]:
+    """Links between rows `one` and `two` (equal or disjoint) that join components, none twice.
+
+    Pairs of different components meet in the larger set's band: folded sketches first, nearest pairs first, then
+    whole sketches, then the sets.
     """
-    distance = np.zeros((len(a), len(b)), np.int32)
-    for k in range(a.shape[1]):
-        distance += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    fits = (distance <= most) & apart
-    if not every:
-        near = np.where(fits, distance, most + 1).argmin(1)
-        fits &= np.arange(len(b)) == near[:, None]
-    i, j = np.nonzero(fits)
-    return i, j, distance[i, j]
+    size = np.array([len(x) for x in sets])
+    own = bands.of(np.maximum(size, 1))
+    _, first, label = np.unique(comp, return_index=True, return_inverse=True)
+    union = Union(first[label.reshape(-1)])
+    out: list[tuple[int, int]] = []
+
+    def test(i: int, j: int) -> bool:
+        if union.root(i) == union.root(j):
+            return False
+        a, b = sets[i], sets[j]
+        shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        if 100 * shared < percent * (len(a) + len(b) - shared):
+            return False
+        out.append((i, j))
+        return union.join(i, j)
+
+    for band in np.unique(own):
+        parts = int(bands.parts[band])
+        x, y = (at[(own[at] == band) | (own[at] == band - 1)] for at in (one, two))
+        if not parts or not len(x) or not len(y) or len(np.unique(union.roots()[np.concatenate([x, y])])) < 2:
+            continue
+        same = np.array_equal(x, y)
+        wide_x = parities([sets[i] for i in x], parts)
+        wide_y = wide_x if same else parities([sets[i] for i in y], parts)
+        small_x, small_y = fold(wide_x), fold(wide_y)
+        step = max(1, PAIRS // len(y))
+        for k in range(0, len(x), step):
+            at = x[k : k + step]
+            distance = np.zeros((len(at), len(y)), np.int32)
+            for c in range(small_x.shape[1]):
+                distance += np.bitwise_count(small_x[k : k + step, c, None] ^ small_y[None, :, c])
+            most = (100 - percent) * (size[at][:, None] + size[y][None]) // (100 + percent)
+            fits = (distance <= most) & ((own[at] == band)[:, None] | (own[y] == band)[None])
+            if same:
+                fits &= np.arange(len(y))[None] > np.arange(k, k + len(at))[:, None]
+            joined = True
+            while joined:  # each row with the nearest of another component
+                roots = union.roots()
+                fits &= roots[at][:, None] != roots[y][None]
+                rows = np.flatnonzero(fits.any(1))
+                near = np.where(fits[rows], distance[rows], np.iinfo(np.int32).max).argmin(1)
+                fits[rows, near] = False
+                joined = sum([test(int(at[i]), int(y[j])) for i, j in zip(rows, near, strict=True)]) > 0
+            i, j = np.nonzero(fits)
+            for z in range(0, len(i), max(1, PAIRS // parts)):
+                a, b = i[z : z + max(1, PAIRS // parts)], j[z : z + max(1, PAIRS // parts)]
+                whole = np.bitwise_count(wide_x[k + a] ^ wide_y[b]).sum(1, dtype=np.int32)
+                close = np.flatnonzero(whole <= most[a, b])
+                close = close[np.argsort(whole[close], kind="stable")]
+                for m, n in zip(at[a[close]].tolist(), y[b[close]].tolist(), strict=True):
+                    test(m, n)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,17 +249,21 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, chunk_rows: int = 2048, first_words: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, chunk_bytes: int = CHUNK_BYTES, first_words: int = 6) -> DataFrame:
     """Groups of texts whose shingle sets have at least `percent` hundredths of their union in common.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. A text's set: distinct shingles of `shingle` words; of
     fewer words the whole sequence is one; null texts and texts without words are linked with nothing. Returns
     id_col, n_shingles and component_id (the least id reachable by links, itself included; the id where there is
     none). One row per input row. Rows with one id are linked texts of that id. Rows with a null id belong to the
-    component of an equal set, else to none (null). `first_words`: the words by which a set finds leaders; `chunk_rows`:
-    how many sketches of one group a task compares with as many; neither changes the result. Other columns don't take part; an empty table gives no rows.
+    component of an equal set, else to none (null). `first_words`: the words by which a set finds leaders; `chunk_bytes`:
+    the sets of one group that a task compares with as many; neither changes the result. A very long text is a block
+    and a chunk of its own. Ids must be integers. Other columns don't take part, whatever their names; an empty table
+    gives no rows.
     """
-    packed = B.pack(df, text_col, [id_col])
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must hold integers")
+    packed = B.pack(df, text_col, [id_col], block_bytes=2 << 20)
     blocks = packed.df.select("block", "payload")
 
     def measure(table: pa.Table, _, block: int) -> pd.DataFrame:
@@ -231,6 +315,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cut = np.searchsorted(row, np.arange(len(rows) + 1))
         return pd.DataFrame({"block": left["block"].iloc[0], "row": rows, "set": pd.Series([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], dtype=object)})
 
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components of some groups: within a chunk of one or between two."""
+        order = np.lexsort([frame[c].to_numpy() for c in ("id", "q", "p", "least")])
+        least, p, q, chunk, ids, comp = (frame[c].to_numpy()[order] for c in ("least", "p", "q", "chunk", "id", "comp"))
+        blobs = frame["set"].to_numpy()[order]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)]))
+        out = [np.zeros((0, 2), np.int64)]
+        for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
+            pairs = spanning_links([np.frombuffer(b, U64) for b in blobs[x:y]], comp[x:y], np.flatnonzero(chunk[x:y] == p[x]), np.flatnonzero(chunk[x:y] == q[x]), bands, percent)
+            if pairs:
+                out.append(ids[x:y][np.array(pairs)])
+        a, b = np.concatenate(out).T
+        return pd.DataFrame({"a": a, "b": b})
+
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Links between rows of a block and sets that were sent to it."""
         a, b = [], []
@@ -257,60 +355,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sent = pairs.join(place, "id").groupBy("block", "leader").agg(F.collect_list("row").alias("rows"), F.collect_list("id").alias("ids"))
         return B.checkpoint(blocks.groupBy("block").cogroup(sent.join(found, "leader").groupBy("block")).applyInPandas(test, "a long, b long"))
 
-    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The folded sketches of some rows of a block, in their own band and the next."""
-        ids, band, blob = [], [], []
-        if len(left) and len(right):
-            right = right.sort_values("row")
-            sets_ = shingle_sets(B.unpack(left["payload"].iloc[0]).take(pa.array(right["row"].to_numpy()))[text_col], shingle)
-            for step in (0, 1):
-                of, parts, word = sketches(*sets_, bands, step)
-                cut = np.concatenate([[0], np.cumsum(parts)])
-                ids += right["id"].tolist()
-                band += of.tolist()
-                blob += [fold(word[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pd.DataFrame({"id": np.array(ids, np.int64), "band": np.array(band, np.int32), "sketch": pd.Series(blob, dtype=object)})
-
-    def compare(every: bool):
-        """All pairs that the sketches allow; or, of each set, only the nearest."""
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            """Pairs of different components whose sketches allow a link, for some groups: within a part of one or between two."""
-            key, p, q, chunk, ids, comp, band = (frame[c].to_numpy() for c in ("key", "p", "q", "chunk", "id", "comp", "band"))
-            words = frame["sketch"].to_numpy()
-            order = np.lexsort((q, p, key))
-            edge = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)])
-            heads = np.flatnonzero(edge)
-            out = [np.zeros((0, 3), np.int64)]
-            for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
-                at = order[x:y]
-                most = int(bands.most[band[at[0]]])
-                one, two = at[chunk[at] == p[at[0]]], at[chunk[at] == q[at[0]]]
-                if not len(one) or not len(two):
-                    continue
-                a, b = (np.frombuffer(b"".join(words[z]), U64).reshape(len(z), -1) for z in (one, two))
-                for k in range(0, len(one), 256):
-                    some = one[k : k + 256]
-                    i, j, bits = close_pairs(a[k : k + 256], b, comp[some, None] != comp[None, two], most, every)
-                    if len(i):
-                        out.append(np.column_stack([ids[some][i], ids[two][j], bits]))
-            pairs = np.concatenate(out)
-            pairs[:, :2] = pairs[:, :2] if not every else np.sort(pairs[:, :2], axis=1)[:, ::-1]
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2] * (not every), pairs[:, 0]))]
-            same = pairs[1:, 0] == pairs[:-1, 0]
-            if every:
-                same &= pairs[1:, 1] == pairs[:-1, 1]
-            pairs = pairs[np.concatenate([[True], ~same])] if len(pairs) else pairs
-            return pd.DataFrame({"id": pairs[:, 0], "leader": pairs[:, 1], "bits": pairs[:, 2]})
-
-        return run
-
     # First each class against the two leaders with which it has the most of its first words in common.
     votes = least.join(leads, "key").where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     top = F.slice(F.sort_array(F.collect_list(F.struct("n", -F.col("leader"))), asc=False), 1, 2)
-    tested = votes.groupBy("id").agg(top.alias("x")).select("id", F.explode("x").alias("x"))
-    tested = B.checkpoint(tested.select("id", (-F.col("x.col2")).alias("leader")))
-    edges = verified(tested)
+    asked = votes.groupBy("id").agg(top.alias("x")).select("id", F.explode("x").alias("x"))
+    edges = verified(B.checkpoint(asked.select("id", (-F.col("x.col2")).alias("leader"))))
     label = components(edges)
 
     # Then: which words are in several components?
@@ -370,34 +419,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     answers = B.answer(B.ask(packed, held, emit), 1, judge)
     known = B.checkpoint(B.each_block(packed, held.unionByName(answers), narrow, "key long, band int, id long, comp long"))
-    wanted = known.select("id").distinct().join(place, "id")
-    drawn = B.checkpoint(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(draw, "id long, band int, sketch binary"))
-    # Of groups that hold several components, first each set with the nearest of another component, which joins most
-    # of what can be joined; then all pairs that are still apart, where the sketches allow a link.
-    for every in (False, True):
-        now = known.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
-        left = B.checkpoint(now.join(mixed, "key"))
-        # A large group is compared by pairs of its chunks, so that no task holds all of it.
-        chunks = F.ceil(F.col("size") / chunk_rows).cast("long")
-        chunk = F.pmod(F.xxhash64("id"), chunks)
-        dealt = left.join(drawn, ["id", "band"]).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    # Of groups of equal words that hold several components: all sets with the least id of their group.
+    mixed = known.groupBy("key").agg(F.min("id").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "least")
+    near = B.checkpoint(known.join(mixed, "key").select("least", "id", "comp").distinct().join(classes.select("id", "n"), "id"))
+    held_bytes = near.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8
+    if held_bytes:
+        wanted = near.select("id").distinct().join(place, "id").select("block", "row")
+        found = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(take, "block long, row int, set binary")
+        found = B.checkpoint(found.join(place, ["block", "row"]).select("id", "set"))
+        # A large group is compared by pairs of its chunks, so that no task holds all of it; small ones share tasks.
+        chunks = near.groupBy("least").agg(F.ceil(F.sum("n") * 8 / chunk_bytes).cast("long").alias("chunks"))
+        dealt = near.drop("n").join(chunks, "least").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         dealt = dealt.withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
-        # Small groups share tasks of some ten thousand rows.
-        tasks = left.count() // 20_000 + 8
-        task = F.when(F.col("size") <= chunk_rows, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "p", "q"))
-        dealt = dealt.select("key", "id", "comp", "band", "chunk", "sketch", "p", "q", task.alias("task"))
-        pairs = dealt.groupBy("task").applyInPandas(compare(every), "id long, leader long, bits long")
-        if every:
-            pairs = pairs.select("id", "leader").distinct()
-        else:
-            pairs = pairs.groupBy("id").agg(F.min(F.struct("bits", "leader")).alias("x")).select("id", "x.leader")
-        pairs = B.checkpoint(pairs.join(tested, ["id", "leader"], "left_anti"))
-        more = verified(pairs)
-        tested = tested.unionByName(pairs)
+        task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("least"), F.lit(2 * held_bytes // chunk_bytes + 64))).otherwise(F.xxhash64("least", "p", "q"))
+        dealt = dealt.select("least", "id", "comp", "chunk", "p", "q", task.alias("task")).join(found, "id")
+        more = B.checkpoint(dealt.groupBy("task").applyInPandas(link, "a long, b long"))
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            label = components(edges)
+            label = components(edges.unionByName(more))
     out = sets.join(classes.select("h1", "h2", "n", F.col("id").alias("rep")), ["h1", "h2", "n"], "left")
     out = out.join(label.withColumnRenamed("id", "rep"), "rep", "left")
     kind = df.schema[id_col].dataType
