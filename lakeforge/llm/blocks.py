@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Compressed bytes of texts in a partition, beyond the session's number of shuffle partitions.
+PARTITION_BYTES = 64 << 20
 REPLY = "block long, round int, bucket int, blob binary"
 
 
@@ -37,7 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the cluster's spark.checkpoint.dir; sets one only where none is set, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -60,10 +65,10 @@ def laid_out(df: DataFrame, partitions: int, key: str) -> DataFrame:
 
 
 class Blocks:
-    """Packed documents: `df` has block, n_bytes and payload; `count` blocks, `bytes` of text."""
+    """Packed documents: `df` has block, n_bytes and payload; `count` blocks, `bytes` of text, laid out in `partitions`."""
 
-    def __init__(self, df: DataFrame, count: int, size: int, spark: SparkSession):
-        self.df, self.count, self.bytes, self.spark = df, count, size, spark
+    def __init__(self, df: DataFrame, count: int, size: int, spark: SparkSession, partitions: int):
+        self.df, self.count, self.bytes, self.spark, self.partitions = df, count, size, spark, partitions
 
     def buckets(self, entry_bytes_per_text_byte: float) -> int:
         """Enough for buckets of bounded size, and for every core."""
@@ -80,18 +85,13 @@ def pack(df: DataFrame, text: str, keep: list[str], block_bytes: int = BLOCK_BYT
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
 
         def flush() -> pa.RecordBatch:
             nonlocal serial, held, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-                out.write_table(table)
             row = pa.RecordBatch.from_pydict({
                 "block": pa.array([(part << 32) | serial], pa.int64()),
                 "n_bytes": pa.array([size], pa.int64()),
-                "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                "payload": pa.array([pack_table(pa.Table.from_batches(held).combine_chunks())], pa.binary()),
             })
             serial, held, size = serial + 1, [], 0
             return row
@@ -111,10 +111,23 @@ def pack(df: DataFrame, text: str, keep: list[str], block_bytes: int = BLOCK_BYT
             yield flush()
 
     packed = df.select(*columns).mapInArrow(write, "block long, n_bytes long, payload binary")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_estimate(df.select(*columns)) // PARTITION_BYTES))
     packed = laid_out(packed, partitions, "block")
     n, size = packed.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    return Blocks(packed, n, size, spark)
+    return Blocks(packed, n, size, spark, partitions)
+
+
+def _estimate(df: DataFrame) -> int:
+    """The planner's size of `df`: its files' bytes, where it is read from files. Joins without statistics say nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else 0
+
+
+def pack_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def unpack(payload: bytes) -> pa.Table:

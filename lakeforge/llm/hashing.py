@@ -16,6 +16,7 @@ U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _CODES = [np.random.default_rng(1000 + lane).integers(1, 2**63, 256, dtype=np.uint64) for lane in range(2)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP, _KEPT = 1 << 18, 1 << 21
 
 #: The separators of a word, `[\x20\x09-\x0D]`.
 SPACE = np.zeros(256, bool)
@@ -35,15 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the lane's base, and of its inverse; kept while they are few."""
     held = _POWERS.get(lane)
     if held is None or len(held[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        base = _BASES[lane]
-        held = tuple(
-            np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)]))
-            for b in (base, pow(base, -1, 2**64))
-        )
-        _POWERS[lane] = held if size <= 1 << 24 else _POWERS.get(lane, held)
+        base, size = _BASES[lane], -(-n // _STEP) * _STEP
+        held = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (base, pow(base, -1, 2**64)))
+        if size <= _KEPT:
+            _POWERS[lane] = held
     return held[0][:n], held[1][:n]
 
 
@@ -54,7 +53,8 @@ class Prefix:
         self.lane = lane
         up, self.down = _powers(len(codes) + 1, lane)
         self.sums = np.zeros(len(codes) + 1, U64)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
+        np.multiply(codes, up[: len(codes)], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     @classmethod
     def of_bytes(cls, data: np.ndarray, lane: int = 0) -> Prefix:

@@ -81,9 +81,9 @@ def op9_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that also start anywhere else are removed from `documents`."""
-    out = dedup_byte_strings(_read(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Strings of 400 bytes that also start anywhere else are removed from `documents`; repeated passages of over 50 words, many of them shorter, are counted."""
+    out = dedup_byte_strings(_read(spark, sf_dir, "documents"), length=400, passages_over=(50, 259))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
