@@ -5,7 +5,8 @@ cut, so each run of spaces with the word behind it merges by itself. All distinc
 words of a batch stand in one array of symbols. A round looks up the rank of every
 neighbouring pair, takes each word's least rank, merges the leftmost non-overlapping
 pairs of that rank in all words at once, and compacts the array. Words without a
-mergeable pair leave it. Where a merged piece could merge further before the other
+mergeable pair leave it. A long word has its rounds by itself: linked symbols instead of compaction, and the places
+of each rank kept, so that a round costs what it merges, not the word's length. Where a merged piece could merge further before the other
 pairs of its rank, only the word's first pair is merged in that round, which is the
 order that one merge at a time would take.
 """
@@ -13,6 +14,7 @@ order that one merge at a time would take.
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _CACHE_WORDS = 200_000
+_LONG_WORD = 1000
 
 codecs.register_error("one-for-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -80,6 +83,57 @@ class Model:
 
     # --- encoding
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (the last rank: none), and the symbol that it merges to."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.one_at_a_time) - 1), self.merged[at]
+
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """All merges of one word."""
+        n, inf = len(sym), len(self.one_at_a_time) - 1
+        sym = np.append(sym, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, to = np.full(n + 1, inf), np.zeros(n + 1, np.int64)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            rank[at], to[at] = self.pairs(sym[at], sym[after[at]])
+            at = at[rank[at] < inf]
+            order = np.argsort(rank[at], kind="stable")
+            at, r = at[order], rank[at][order]
+            edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+            for value, some in zip(r[edge].tolist(), np.split(at, edge[1:]), strict=False):
+                if value not in places:
+                    places[value] = []
+                    heapq.heappush(heap, value)
+                places[value].append(some)
+
+        put(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if self.one_at_a_time[r]:
+                if len(at) > 1:
+                    places[r] = [at[1:]]
+                    heapq.heappush(heap, r)
+                at = at[:1]
+            else:  # within a run of touching pairs every other one is merged
+                new_run = np.concatenate([[True], at[1:] != after[at[:-1]]])
+                begin = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            sym[at] = to[at]
+            rank[gone], sym[gone] = inf, -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            put(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        return sym[sym >= 0]
+
     def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All merges of all words: symbols and word numbers, in order of words."""
         done = []
@@ -127,7 +181,16 @@ class Model:
         distinct, of = np.unique(chars, return_inverse=True)
         # A character in no piece gets a symbol of its own, which merges with nothing.
         known = np.array([self.char_id.get(chr(c), self.none + i) for i, c in enumerate(distinct.tolist())], np.int64)
-        sym, word = self.merge(known[of], np.repeat(np.arange(len(words)), sizes))
+        sym, word = known[of], np.repeat(np.arange(len(words)), sizes)
+        long = np.flatnonzero(sizes > _LONG_WORD)
+        begin = np.cumsum(sizes) - sizes
+        parts = [self.merge_long(sym[begin[i] : begin[i] + sizes[i]]) for i in long]
+        short = np.repeat(sizes <= _LONG_WORD, sizes)
+        sym, word = self.merge(sym[short], word[short])
+        if len(long):
+            sym, word = np.concatenate([sym, *parts]), np.concatenate([word, np.repeat(long, [len(x) for x in parts])])
+            order = np.argsort(word, kind="stable")
+            sym, word = sym[order], word[order]
         if (sym >= self.size).any():
             spelled = {i: np.array([self.byte_ids[b] for b in chr(c).encode()]) for i, c in zip(known.tolist(), distinct.tolist(), strict=True) if i >= self.size}
             count = np.ones(len(sym), np.int64)
@@ -183,7 +246,7 @@ class Model:
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encodes every text as the model's library does, with begin and end ids and no sampling, and decodes the ids.
 
-    A null or empty text has begin and end alone and decodes to "". Returns id_col, the columns `keep`, n_tokens,
+    Long texts are encoded whole, and long words in time that grows as their length. A null or empty text has begin and end alone and decodes to "". Returns id_col, the columns `keep`, n_tokens,
     ids (binary: little-endian unsigned 32-bit integers) and decoded. One row per input row, whatever its id; other
     columns don't take part; an empty table gives no rows. A narrow pass: no shuffle, a lost task is read again.
     The model file (its size is that of a vocabulary) is read by the driver and goes out with the task.
