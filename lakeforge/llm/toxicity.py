@@ -119,6 +119,7 @@ def classify(
     n_words: int = 2000,
     folds: int = 3,
     threshold: float = 0.5,
+    suffix: str = "",
 ) -> DataFrame:
     """Adds each category's probability to the texts, and `rejected`: the last category's is at least `threshold`.
 
@@ -126,11 +127,15 @@ def classify(
     with a null id or label don't count; of several rows with one id the greatest values do. The sample: the
     `max_train_rows` labelled ids with the least hash, so it is the same whatever the partitions. With no usable
     labels, or one class, a category's probability is its smoothed rate. Returns id_col, the columns `keep`,
-    p_<category> and rejected, one row per input row; null and empty texts have no words. Other columns don't
-    take part, whatever their names; an empty table gives no rows.
+    p_<category> and rejected, each name with `suffix`, which tells them from columns of `keep`; one row per input
+    row, repeated and null ids too; null and empty texts have no words. Texts are scored by a few MB at a time, a very
+    long one alone. Other columns don't take part, whatever their names; an empty table gives no rows.
     """
     keep = [id_col, *[c for c in keep or [] if c != id_col]]
     names = [c for c, _ in categories]
+    made = [*(f"p_{c}{suffix}" for c in names), f"rejected{suffix}"]
+    if clash := {*made} & {*keep}:
+        raise ValueError(f"columns {sorted(clash)} of keep are made here: give a suffix")
     sample = labels.where(" and ".join(f"`{c}` is not null" for c in [id_col, *names])).groupBy(F.col(id_col).alias("id")).agg(*(F.max(F.col(c)).alias(f"y{i}") for i, c in enumerate(names)))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_train_rows)
     # At most max_train_rows rows of a few numbers: always small enough to send.
@@ -154,7 +159,7 @@ def classify(
     keys = [np.frombuffer(r["words"], np.uint64) for r in found]
     row = np.repeat(np.arange(len(found)), [len(k) for k in keys]) if found else np.zeros(0, np.int64)
     chain = fit_chain(row, np.concatenate(keys) if found else np.zeros(0, np.uint64), y, n_words, folds)
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(f"p_{c}", T.DoubleType()) for c in names), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.DoubleType()) for c in made[:-1]), T.StructField(made[-1], T.BooleanType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
