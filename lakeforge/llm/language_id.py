@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ SCRIPTS = [
     (0xAC00, 0xD7AF, 12), (0xF900, 0xFAFF, 14),
 ]
 N_SCRIPTS = 15
+#: Texts are taken by so many bytes at a time.
+SLICE_BYTES = 4 << 20
 _LETTER: list[np.ndarray] = []
 
 
@@ -76,17 +79,30 @@ class Chars:
         self.script = np.where(hit, number[at], 0)
 
 
+def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of at most SLICE_BYTES of text, or one text: memory is bounded whatever the batch."""
+    size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)) if batch.num_rows else np.zeros(0)
+    part = (np.cumsum(size) // SLICE_BYTES).astype(int)
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+        yield batch.slice(int(at[0]), len(at))
+
+
 def learn(df: DataFrame, text_col: str, lang_col: str, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities of trigram buckets, and which language uses which script, of all rows of `df`."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for frame in batches:
-            for lang, texts in frame.groupby("lang")["text"]:
-                chars = Chars(texts.tolist(), buckets)
-                new = np.concatenate([np.bincount(chars.bucket, minlength=buckets), np.bincount(chars.script, minlength=N_SCRIPTS)])
-                held[lang] = held.get(lang, 0) + new
-        yield pd.DataFrame({"lang": pd.Series(list(held), dtype=object), "part": np.random.default_rng().integers(0, 64, len(held)), "counts": [v.astype(np.int64).tobytes() for v in held.values()]})
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text")
+                for lang in dict.fromkeys(langs):
+                    chars = Chars(texts.take(pa.array(np.flatnonzero(langs == lang))).to_pylist(), buckets)
+                    new = np.concatenate([np.bincount(chars.bucket, minlength=buckets), np.bincount(chars.script, minlength=N_SCRIPTS)])
+                    held[lang] = held.get(lang, 0) + new
+        # by the task's number, so that a task that runs again deals its counts alike
+        part = pa.array([TaskContext.get().partitionId() % 64] * len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), part, pa.array([v.astype(np.int64).tobytes() for v in held.values()], pa.binary())], names=["lang", "part", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, np.int64) for b in frame["counts"])
@@ -95,7 +111,7 @@ def learn(df: DataFrame, text_col: str, lang_col: str, buckets: int) -> tuple[li
     kind = "lang string, part long, counts binary"
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # Tables of fixed size, one a task and language, added up in two steps.
-    sums = rows.mapInPandas(count, kind).groupBy("lang", "part").applyInPandas(add, kind).groupBy("lang").applyInPandas(add, kind)
+    sums = rows.mapInArrow(count, kind).groupBy("lang", "part").applyInPandas(add, kind).groupBy("lang").applyInPandas(add, kind)
     found = sorted((r["lang"], np.frombuffer(r["counts"], np.int64)) for r in sums.toLocalIterator())
     if not found:
         return [], np.zeros((buckets, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool)
@@ -145,7 +161,8 @@ def identify(df: DataFrame, train: Column | None = None, id_col: str = "doc_id",
     Returns id_col, train, lang_pred (the language with most letters; of equals the first by name; `und` if the
     text is null, has no letter or nothing was learned), score (its share of the letters, 0 if `und`) and spans
     (language, first and last word that has letters, in order). The language column is read in training only.
-    One row per input row; other columns don't take part; an empty table gives no rows. Scoring is a narrow pass.
+    One row per input row, in slices of a few MB, a very long text alone; repeated and null ids are rows of their own.
+    Other columns don't take part; an empty table gives no rows. Scoring is a narrow pass.
     """
     train = F.coalesce(train if train is not None else F.lit(True), F.lit(False))
     langs, log, uses = learn(df.where(train), text_col, lang_col, buckets)
@@ -178,11 +195,7 @@ def identify(df: DataFrame, train: Column | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = np.asarray(pa.compute.binary_length(whole.column("text")).fill_null(0)) if whole.num_rows else np.zeros(0)
-            part = (np.cumsum(size) // (8 << 20)).astype(int)  # bounded memory, whatever the batch
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                batch = whole.slice(int(at[0]), len(at))
+            for batch in sliced(whole, "text"):
                 out = label(batch.select(["text", "train"]).to_pandas().assign(id=0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("train"), pa.array(out["lang_pred"].tolist(), pa.string()), pa.array(out["score"].to_numpy(), pa.float64()), pa.array(out["spans"].tolist(), SPANS)],
