@@ -29,15 +29,24 @@ SHORTEST = 2 * PASSAGE_WORDS + 1
 ROW = "row_of_stage"
 
 
+def _free(docs: DataFrame, *names: str) -> str:
+    """A suffix with which no column of `docs` has one of these names."""
+    out = ""
+    while any(n + out in docs.columns for n in names):
+        out += "_"
+    return out
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """Written once, so that a row has one number wherever the stage reads it."""
     return checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the last model of the chain rejects go."""
+    """Documents that the last model of the chain rejects go. Null and empty texts stay, unless most texts are toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels, CATEGORIES, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    suffix = _free(docs, "rejected", *(f"p_{c}" for c, _ in CATEGORIES))
+    return classify(docs, labels, CATEGORIES, keep=docs.columns, suffix=suffix).where(~F.col(f"rejected{suffix}")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,13 +70,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     No copy is kept, not the first either: a passage that documents share is in none of them afterwards.
     """
-    kept = dedup_byte_strings(docs, length=SHORTEST, only_over=(PASSAGE_WORDS, PASSAGE_BYTES), keep=[c for c in docs.columns if c != "text"])
-    # A cut may leave part of a character, which is no text any more.
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    out = kept.withColumn("text", F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string")))
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\w"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    suffix = _free(docs, "n_bytes", "n_removed", "n_spans", "kept", "no_text")
+    keep = [*(c for c in docs.columns if c != "text"), f"no_text{suffix}"]
+    out = dedup_byte_strings(docs.withColumn(keep[-1], F.col("text").isNull()), length=SHORTEST, only_over=(PASSAGE_WORDS, PASSAGE_BYTES), keep=keep, suffix=suffix)
+    cut = F.col(f"n_removed{suffix}") > 0
+    out = out.withColumn("text", F.when(~F.col(keep[-1]), F.col(f"kept{suffix}").cast("string")))
+    out = out.where(~cut | F.col("text").rlike(r"\w"))
+    new = {"n_chars": F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
