@@ -134,7 +134,7 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges [start, end)."""
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, start, 1)
-    np.add.at(delta, end, -1)
+    if not len(start):
+        return np.zeros(n, bool)
+    delta = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(delta[:-1]) > 0

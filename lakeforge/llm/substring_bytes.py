@@ -37,10 +37,10 @@ U64 = np.uint64
 
 
 def cell_sizes(width: int) -> list[int]:
-    """From the whole range of starts down to one, by factors of about seven."""
+    """From the whole range of starts down to one, by factors of at most 18."""
     sizes = [width]
     while sizes[-1] > 1:
-        sizes.append(-(-sizes[-1] // 7) if sizes[-1] > 7 else 1)
+        sizes.append(-(-sizes[-1] // 18))
     return sizes
 
 
@@ -115,16 +115,20 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
         read = [B.expand(x, "u8", "u1") for x in blobs]
         return [B.bits(x) for x in B.repeated([x[0] for x in read], [x[1] for x in read])]
 
-    def row(block: int, data: np.ndarray, cells: list[np.ndarray], size: int, found: bytes | None) -> pd.DataFrame:
-        """A block's open cells with the bytes around them alone, and the ranges found in this round."""
-        place, s1, s2, lo, hi, shift, o1 = cells
+    def row(block: int, data: np.ndarray, cells: list[np.ndarray], found: bytes | None) -> pd.DataFrame:
+        """A block's open cells with the bytes around them alone, and the ranges found in this round.
+
+        A cell: its place, the first and last start that choose it, the bounds of its bytes, how far they were moved, and
+        its first and last offset from the place.
+        """
+        place, s1, s2, lo, hi, shift, o1, o2 = cells
         if not len(place):
             return pd.DataFrame({"block": [block], "n_bytes": [0], "payload": [None], "found": [found]})
         a = np.maximum(place + o1, lo)
-        b = np.minimum(place + np.minimum(o1 + size - 1, 0) + length, hi)
+        b = np.minimum(place + o2 + length, hi)
         stays = covered(a, b, len(data))
         back = place - (np.cumsum(stays)[place] - 1)  # a cell's bytes all stay, and move by as much
-        cells = [place - back, s1 - back, s2 - back, a - back, b - back, shift + back, o1]
+        cells = [place - back, s1 - back, s2 - back, a - back, b - back, shift + back, o1, o2]
         table = pa.table({"data": pa.array([data[stays].tobytes()], pa.large_binary()), "cells": pa.array([B.squeeze(*cells)], pa.large_binary())})
         return pd.DataFrame({"block": [block], "n_bytes": [int(stays.sum())], "payload": [B.pack_table(table)], "found": [found]})
 
@@ -139,14 +143,13 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
         begin = texts.off[:-1]
         from_ = begin if origin is None else table[origin].to_numpy()
         t = text[go]
-        return row(block, texts.data, [place[go], s1[go], s2[go], begin[t], texts.off[1:][t], (from_ - begin)[t], np.full(len(go), 1 - width)], sizes[0], None)
+        return row(block, texts.data, [place[go], s1[go], s2[go], begin[t], texts.off[1:][t], (from_ - begin)[t], np.full(len(go), 1 - width), np.zeros(len(go), np.int64)], None)
 
     def refined(table: pa.Table, level: int) -> tuple:
         """Entries of a block's cells, sorted: pointers of the shared and the spanned string, with how many cells; the cells, and which entry each has."""
         data = np.frombuffer(table["data"][0].as_buffer(), np.uint8)
-        cells = B.expand(table["cells"][0].as_py(), *["i8"] * 7)
-        place, _, _, lo, hi, _, o1 = cells
-        o2 = np.minimum(o1 + sizes[level] - 1, 0)
+        cells = B.expand(table["cells"][0].as_py(), *["i8"] * 8)
+        place, _, _, lo, hi, _, o1, o2 = cells
         one, two = (Pointers(data, lane, q, length + width) for lane in (0, 1))
         core = one.of(place + o2, place + o1 + length)
         a, b = np.maximum(place + o1, lo), np.minimum(place + o2 + length, hi)
@@ -188,22 +191,20 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
             flags = np.zeros((2, len(keys[0])), bool)
             for k, x, y in B.split(keys[0], buckets):
                 flags[:, x:y] = B.flags_of(have[level + 1][k], 2 * (y - x)).reshape(2, -1)
-            place, s1, s2, lo, hi, shift, o1 = cells
-            o2 = np.minimum(o1 + sizes[level] - 1, 0)
+            place, s1, s2, lo, hi, shift, o1, o2 = cells
             yes = np.flatnonzero(flags[0][of])
             f1, f2 = np.maximum(place + o1, s1)[yes] + shift[yes], np.minimum(place + o2, s2)[yes] + shift[yes] + length
             found = B.squeeze(f1, f2) if len(yes) else None
             if level + 1 == len(sizes):
-                return row(block, data, [x[:0] for x in cells], 1, found)
+                return row(block, data, [x[:0] for x in cells], found)
             # with cells of a repeated span, which others may be equal to in part
             go = np.flatnonzero(flags[1][of])
             parts = -(-sizes[level] // sizes[level + 1])
             pick = np.repeat(go, parts)
             n1 = o1[pick] + np.tile(np.arange(parts) * sizes[level + 1], len(go))
             n2 = np.minimum(n1 + sizes[level + 1] - 1, o2[pick])
-            pick_has = (n1 <= o2[pick]) & (place[pick] + n1 <= s2[pick]) & (place[pick] + n2 >= s1[pick])
-            pick = pick[pick_has]
-            return row(block, data, [*(x[pick] for x in cells[:6]), n1[pick_has]], sizes[level + 1], found)
+            has = (n1 <= o2[pick]) & (place[pick] + n1 <= s2[pick]) & (place[pick] + n2 >= s1[pick])
+            return row(block, data, [*(x[pick[has]] for x in cells[:6]), n1[has], n2[has]], found)
 
         return update
 

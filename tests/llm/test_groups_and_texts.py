@@ -94,8 +94,9 @@ def test_near_misses_of_one_text_in_chunks(spark):
         near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
-def test_passages_beside_strings(spark):
-    """Strings of 90 bytes removed, repeated passages of over 12 words or 80 bytes counted."""
+@pytest.mark.parametrize("length", [90, 57, 25, 20])
+def test_passages_beside_strings(spark, length):
+    """Strings of `length` bytes removed, repeated passages of over 12 words or 80 bytes counted."""
     rng = random.Random(2)
     shared = [" ".join(word(rng, n) for _ in range(m)) for n, m in ((1, 13), (2, 14), (1, 12), (6, 30), (30, 4), (9, 9))]
     rows = []
@@ -103,7 +104,7 @@ def test_passages_beside_strings(spark):
         parts = [" ".join(word(rng) for _ in range(rng.randint(2, 9))) for _ in range(3)]
         rows.append((i, f"{parts[0]} {rng.choice(shared)} {parts[1]} {rng.choice(shared)} {parts[2]}", 5, 6))
     rows += [(90, "é" * 20_000 + rows[0][1], 0, 0), (91, None, 0, 0), (91, "", 0, 0)]
-    length, words, most = 90, 12, 80
+    words, most = 12, 80
 
     def repeated(n):
         seen = Counter(b[i : i + n] for _, b in texts for i in range(len(b) - n + 1))

@@ -70,7 +70,7 @@ def test_word_windows(docs, rows, window):
     assert Counter(tuple(r)[:3] for r in dedup_word_windows(docs, window=window).collect()) == want
 
 
-@pytest.mark.parametrize("length", [60, 13])
+@pytest.mark.parametrize("length", [101, 60, 41, 13])
 def test_byte_strings(docs, rows, length):
     texts = [(d, (t or "").encode()) for d, t in rows]
     count = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
