@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_END = "9999-12-31"
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Written once to the folder that the cluster names in spark.checkpoint.dir; one is set only for local sessions without."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key, the first in `order`. A window group limit drops the rest before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -53,6 +67,18 @@ def expand_days(df: DataFrame, start: str, end: str, out: str) -> DataFrame:
     return df.where(F.col(start) < F.col(end)).withColumn(out, F.explode(F.sequence(F.col(start), last)))
 
 
+def lookup_as_of(fact: DataFrame, dim: DataFrame, sk: str, key: str, on: str, date: str, out: str | None = None) -> DataFrame:
+    """The surrogate key of the version that held on the fact's date, -1 where there is none. Special members have no period of their own."""
+    d = dim.where(F.col(sk) > 0).select(F.col(key).alias("_k"), F.col("valid_from").alias("_f"), F.col("valid_to").alias("_t"), F.col(sk).alias("_sk"))
+    match = (fact[on] == d["_k"]) & (fact[date] >= d["_f"]) & (fact[date] < d["_t"])
+    return fact.join(d, match, "left").withColumn(out or sk, F.coalesce("_sk", F.lit(-1))).drop("_k", "_f", "_t", "_sk")
+
+
+def date_key_or_unknown(date: Column, first: str, last: str) -> Column:
+    """The key of the calendar's day, -1 outside the calendar: a join with the date dimension whose keys are computed."""
+    return F.when(date.between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.date_format(date, "yyyyMMdd").cast("int")).otherwise(-1)
+
+
 def lookup(fact: DataFrame, dim: DataFrame, on: Column, sk: str, out: str, missing: int = -1) -> DataFrame:
     """A dimension's key, or the unknown member."""
     return fact.join(dim, on, "left").withColumn(out, F.coalesce(F.col(sk), F.lit(missing)))

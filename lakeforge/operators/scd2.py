@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeforge.functions.cleaning import row_hash
-from lakeforge.operators.keys import OPEN_END, latest_by_key
+from lakeforge.operators.keys import OPEN_END, checkpoint, latest_by_key
 
 
 def backfill(snapshots: DataFrame, key: str, tracked: list[str], observed: str, ingested: str) -> DataFrame:
@@ -21,30 +21,75 @@ def backfill(snapshots: DataFrame, key: str, tracked: list[str], observed: str,
 
 
 def with_surrogate(df: DataFrame, order: list[str], sk: str, start: int = 0) -> DataFrame:
-    """Keys from start + 1 in order. Ranges are numbered on their own and offset by the counts before them."""
+    """Keys from start + 1 in order, without gaps or repeats.
+
+    Ranges are numbered on their own and offset by the counts before them. A second evaluation would draw other
+    range bounds, so the numbered ranges are written once, and both the counts and the rows come from there.
+    """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    parts = checkpoint(parts)
     first = parts.groupBy("_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
     base = first.withColumn("_base", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
     return parts.join(F.broadcast(base.select("_p", "_first", "_base")), "_p").withColumn(sk, F.col("_i") - F.col("_first") + 1 + F.coalesce("_base", F.lit(0)) + start).drop("_p", "_i", "_first", "_base")
 
 
-def apply_changes(dim: DataFrame, source: DataFrame, key: str, tracked: list[str], effective: str, deactivate: str | None = None) -> DataFrame:
-    """New keys start a version, changed ones close theirs and start one, others stay. Inferred members are filled in place.
+def special_members(dim: DataFrame, sk: str, key: str, members: tuple[tuple[int, str], ...] = ((-1, "-1"), (-2, "-2")), **values) -> DataFrame:
+    """The dimension with its unknown (-1) and not applicable (-2) member, open for ever; other columns are null unless given."""
+    spark = dim.sparkSession
+    rows = spark.createDataFrame(list(members), "s long, k string")
+    fixed = {sk: F.col("s"), key: F.col("k"), "valid_from": F.lit("1900-01-01"), "valid_to": F.lit(OPEN_END), "is_current": F.lit(True), "is_inferred": F.lit(False)} | {c: F.lit(v) for c, v in values.items()}
+    return dim.unionByName(rows.select(*(fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in dim.schema)))
+
+
+def load_dimension(snapshots: DataFrame, key: str, tracked: list[str], observed: str, ingested: str, sk: str, existing: DataFrame | None = None, specials: tuple = ((-1, "-1"), (-2, "-2"))) -> DataFrame:
+    """Backfill with surrogate keys by key and day, and special members. A dimension that holds real members already is left as it is."""
+    if existing is not None and not existing.where(F.col(sk) > 0).isEmpty():
+        return existing
+    numbered = with_surrogate(backfill(snapshots, key, tracked, observed, ingested), [key, "valid_from"], sk)
+    return special_members(numbered, sk, key, specials) if specials else numbered
+
 
-    With `deactivate`, current versions of keys that the source lacks get 0 there, without a new version.
+def owner_since(versions: DataFrame, entity: str, owner: str, start: str, out: str = "owner_since_date") -> DataFrame:
+    """The day from which a version's owner held the entity: the start of the version that changed owner, spread over its later ones."""
+    before = F.lag(owner).over(Window.partitionBy(entity).orderBy(start))
+    change = versions.withColumn("_change", F.when(~before.eqNullSafe(F.col(owner)), F.col(start)))
+    return change.withColumn(out, F.coalesce("_change", F.max("_change").over(Window.partitionBy(entity, owner)))).drop("_change")
+
+
+def apply_changes(dim: DataFrame, source: DataFrame, key: str, tracked: list[str], effective: str, deactivate: str | None = None, since: str | None = None, sk: str | None = None) -> DataFrame:
+    """New keys start a version, changed ones close theirs and start one, others stay.
+
+    An inferred member whose key the source now has is filled in place: its version, dates and surrogate key stay, its
+    values become the source's. With `deactivate`, current versions of keys that the source lacks get 0 there, without
+    a new version. With `since`, a column of the source, a new key's version starts then, if known. With `sk`, new
+    versions get the next surrogate keys.
     """
     when = F.lit(effective).cast("date")
-    new = source.select(key, *tracked).withColumn("_row_hash", row_hash(tracked))
-    s = new.select(F.col(key).alias("_k"), F.col("_row_hash").alias("_h"), F.lit(True).alias("_seen"))
+    extra = [since] if since else []
+    new = source.select(key, *dict.fromkeys([*tracked, *extra])).withColumn("_row_hash", row_hash(tracked))
+    s = new.select(F.col(key).alias("_k"), F.col("_row_hash").alias("_h"), *(F.col(c).alias(f"_new_{c}") for c in tracked), F.lit(True).alias("_seen"))
     joined = dim.join(s, dim[key] == s["_k"], "left")
-    changed = F.col("is_current") & F.col("_seen").isNotNull() & ~F.col("_row_hash").eqNullSafe(F.col("_h"))
-    closed = joined.withColumn("_c", F.coalesce(changed, F.lit(False))).withColumns({"valid_to": F.when(F.col("_c"), when).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~F.col("_c")})
+    here = F.col("is_current") & F.col("_seen").isNotNull()
+    promoted = F.coalesce(here & F.col("is_inferred"), F.lit(False))
+    changed = F.coalesce(here & ~F.col("is_inferred") & ~F.col("_row_hash").eqNullSafe(F.col("_h")), F.lit(False))
+    closed = joined.withColumns({"_c": changed, "_f": promoted})
+    closed = closed.withColumns({c: F.when(F.col("_f"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in tracked} | {
+        "_row_hash": F.when(F.col("_f"), F.col("_h")).otherwise(F.col("_row_hash")), "is_inferred": F.col("is_inferred") & ~F.col("_f"),
+        "valid_to": F.when(F.col("_c"), when).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~F.col("_c"),
+    })
     if deactivate:
         closed = closed.withColumn(deactivate, F.when(F.col("is_current") & F.col("_seen").isNull(), 0).otherwise(F.col(deactivate)))
-    current = dim.where("is_current").select(F.col(key).alias("_k"), F.col("_row_hash").alias("_h"))
-    fresh = new.join(current, (F.col(key) == F.col("_k")) & F.col("_row_hash").eqNullSafe(F.col("_h")), "left_anti")
-    fresh = fresh.withColumns({"valid_from": when, "valid_to": F.lit(OPEN_END).cast("date"), "is_current": F.lit(True), "is_inferred": F.lit(False)})
-    return closed.drop("_k", "_h", "_seen", "_c").unionByName(fresh, allowMissingColumns=True)
+    current = dim.where("is_current").select(F.col(key).alias("_k"), F.col("_row_hash").alias("_h"), F.col("is_inferred").alias("_i"))
+    known = dim.select(F.col(key).alias("_k")).distinct().withColumn("_known", F.lit(True))
+    fresh = new.join(current, (F.col(key) == F.col("_k")) & (F.col("_row_hash").eqNullSafe(F.col("_h")) | F.col("_i")), "left_anti")
+    fresh = fresh.join(known, F.col(key) == F.col("_k"), "left") if since else fresh
+    start = F.when(F.col("_known").isNull() & F.col(since).isNotNull(), F.col(since)).otherwise(when) if since else when
+    fresh = fresh.withColumns({"valid_from": start, "valid_to": F.lit(OPEN_END).cast("date"), "is_current": F.lit(True), "is_inferred": F.lit(False)})
+    fresh = fresh.drop("_k", "_known", *(c for c in extra if c not in dim.columns))
+    if sk:
+        last = dim.agg(F.coalesce(F.max(sk), F.lit(0)).alias("_last"))
+        fresh = with_surrogate(fresh, [key], sk).crossJoin(F.broadcast(last)).withColumn(sk, F.col(sk) + F.col("_last")).drop("_last")  # one row
+    return closed.drop("_k", "_h", "_seen", "_c", "_f", *(f"_new_{c}" for c in tracked)).unionByName(fresh, allowMissingColumns=True)
 
 
 def type1(dim: DataFrame, source: DataFrame, key: str, sk: str) -> DataFrame:
@@ -65,13 +110,13 @@ def integrity(dim: DataFrame, key: str) -> DataFrame:
     return per.where("overlaps > 0 or gaps > 0 or current_rows <> 1")
 
 
-def inferred_members(references: list[DataFrame], dim: DataFrame, key: str) -> DataFrame:
+def inferred_members(references: list[DataFrame], dim: DataFrame, key: str, status: str = "UNKNOWN") -> DataFrame:
     """Keys that facts name but the dimension lacks, from the day they were first seen. Each reference: key, seen."""
     seen = references[0]
     for other in references[1:]:
         seen = seen.unionByName(other)
     first = seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seen").alias("valid_from"))
-    return first.join(dim.select(key).distinct(), key, "left_anti").withColumns({"valid_to": F.lit(OPEN_END).cast("date"), "is_current": F.lit(True), "is_inferred": F.lit(True)})
+    return first.join(dim.select(key).distinct(), key, "left_anti").withColumns({"valid_to": F.lit(OPEN_END).cast("date"), "is_current": F.lit(True), "is_inferred": F.lit(True), "_row_hash": F.lit(None).cast("string"), "status": F.lit(status)})
 
 
 def junk_dimension(flags: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -79,4 +124,11 @@ def junk_dimension(flags: list[DataFrame], columns: list[str]) -> DataFrame:
     rows = flags[0].select(*columns)
     for other in flags[1:]:
         rows = rows.unionByName(other.select(*columns))
-    return rows.distinct().withColumn("description", F.concat_ws(", ", *(F.when(F.col(c) == 1, F.lit(c)) for c in columns)))
+    return rows.distinct().withColumn("description", F.concat_ws(", ", *(F.when(F.col(c).cast("string") == "1", F.lit(c)) for c in columns)))
+
+
+def numbered_junk(dim: DataFrame, columns: list[str], sk: str, unknown: dict) -> DataFrame:
+    """A junk dimension with keys in the order of its attributes and the member -1, whose attributes a real row may have as well."""
+    out = with_surrogate(dim, columns, sk)
+    row = out.sparkSession.range(1).select(*(F.lit(-1 if f.name == sk else unknown.get(f.name)).cast(f.dataType).alias(f.name) for f in out.schema))
+    return out.unionByName(row)
