@@ -209,7 +209,7 @@ def flags_of(blob: bytes, n: int) -> np.ndarray:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, each delta-coded where that is small, compressed."""
+    """Arrays of one length, compressed."""
     n = len(arrays[0])
     raw = b"".join([n.to_bytes(8, "little"), *(a.tobytes() for a in arrays)])
     packed = pa.compress(raw, codec="zstd", asbytes=True)
@@ -226,6 +226,15 @@ def expand(blob: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
+def squeeze_numbers(*arrays: np.ndarray) -> bytes:
+    """64-bit integers by the places of their bytes, so that small ones compress."""
+    return squeeze(*(a.astype(np.int64, copy=False).view(np.uint8).reshape(len(a), 8).T.reshape(-1) for a in arrays))
+
+
+def expand_numbers(blob: bytes, n: int) -> list[np.ndarray]:
+    return [np.ascontiguousarray(a.reshape(8, -1).T).reshape(-1).view(np.int64) for a in expand(blob, *["u1"] * n)]
+
+
 def repeated(keys: list[np.ndarray], many: list[np.ndarray]) -> list[np.ndarray]:
     """For lists of distinct keys, each with a flag "more than once here": which keys occur more than once in all."""
     sizes = [len(k) for k in keys]

@@ -121,15 +121,6 @@ def sketch_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands)
     return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
-def planes(a: np.ndarray) -> np.ndarray:
-    """The bytes of 64-bit values by place, so that small values compress."""
-    return a.astype(np.int64).view(np.uint8).reshape(len(a), 8).T.reshape(-1)
-
-
-def unplanes(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a.reshape(8, -1).T).reshape(-1).view(np.int64)
-
-
 #: Words folded into one for comparison.
 FOLD = 8
 
@@ -387,10 +378,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return []
         low, high = np.minimum.reduceat(comp[row], starts), np.maximum.reduceat(comp[row], starts)
         key = key[starts]
-        return [(b, B.squeeze(planes(np.diff(key[x:y], prepend=U64(0)).view(np.int64)), planes(low[x:y]), planes(high[x:y] - low[x:y]))) for b, x, y in B.split(key << U64(16), buckets)]
+        return [(b, B.squeeze_numbers(np.diff(key[x:y], prepend=U64(0)).view(np.int64), low[x:y], high[x:y] - low[x:y])) for b, x, y in B.split(key << U64(16), buckets)]
 
     def judge(blobs: list[bytes], _: list[int]) -> list[bytes]:
-        read = [[unplanes(x) for x in B.expand(blob, "u1", "u1", "u1")] for blob in blobs]
+        read = [B.expand_numbers(blob, 3) for blob in blobs]
         key = np.concatenate([np.cumsum(x[0]) for x in read])
         low = np.concatenate([x[1] for x in read])
         high = np.concatenate([x[1] + x[2] for x in read])

@@ -34,6 +34,8 @@ from lakeforge.llm import blocks as B
 from lakeforge.llm.hashing import Prefix, Texts, covered, mix
 
 U64 = np.uint64
+#: Initial buckets go by the upper 48 bits: a chance meeting only opens a cell.
+SHORT = U64(16)
 
 
 def cell_sizes(width: int) -> list[int]:
@@ -88,6 +90,18 @@ def _chosen(grams: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np
     return place[at], starts[at], starts[np.concatenate([at[1:] - 1, [len(starts) - 1]])], text[at]
 
 
+def _packed(cells: list[np.ndarray]) -> bytes:
+    """Places and moves by their differences, all else from the place: small numbers."""
+    place, s1, s2, lo, hi, shift, o1, o2 = cells
+    return B.squeeze_numbers(np.diff(place, prepend=0), place - s1, place - s2, place - lo, hi - place, np.diff(shift, prepend=0), o1, o2 - o1)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    place, s1, s2, lo, hi, shift, o1, o2 = B.expand_numbers(blob, 8)
+    place = np.cumsum(place)
+    return [place, place - s1, place - s2, place - lo, hi + place, np.cumsum(shift), o1, o2 + o1]
+
+
 def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None = None, origin: str | None = None) -> DataFrame:
     """Ranges of bytes that the strings of `length` bytes cover that start more than once in all texts of `blocks`.
 
@@ -105,15 +119,15 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
         texts = Texts(table[column])
         grams = Prefix.of_bytes(texts.data).sliding(q)
         place, *more = _chosen(grams, texts.off, length, q)
-        return texts, grams[place], place, *more
+        return texts, grams[place] >> SHORT << SHORT, place, *more
 
     def initial(table: pa.Table, _: B.Replies, block: int) -> list[tuple[int, bytes]]:
         keys, count = np.unique(chosen(table)[1], return_counts=True)
-        return [(k, B.squeeze(keys[x:y], (count[x:y] > 1).astype(np.uint8))) for k, x, y in B.split(keys, buckets)]
+        return [(k, B.squeeze_numbers(np.diff(keys[x:y] >> SHORT, prepend=U64(0)), count[x:y] > 1)) for k, x, y in B.split(keys, buckets)]
 
     def judge_initial(blobs: list[bytes], _: list[int]) -> list[bytes]:
-        read = [B.expand(x, "u8", "u1") for x in blobs]
-        return [B.bits(x) for x in B.repeated([x[0] for x in read], [x[1] for x in read])]
+        read = [B.expand_numbers(x, 2) for x in blobs]
+        return [B.bits(x) for x in B.repeated([np.cumsum(x[0]) for x in read], [x[1] for x in read])]
 
     def row(block: int, data: np.ndarray, cells: list[np.ndarray], found: bytes | None) -> pd.DataFrame:
         """A block's open cells with the bytes around them alone, and the ranges found in this round.
@@ -129,7 +143,7 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
         stays = covered(a, b, len(data))
         back = place - (np.cumsum(stays)[place] - 1)  # a cell's bytes all stay, and move by as much
         cells = [place - back, s1 - back, s2 - back, a - back, b - back, shift + back, o1, o2]
-        table = pa.table({"data": pa.array([data[stays].tobytes()], pa.large_binary()), "cells": pa.array([B.squeeze(*cells)], pa.large_binary())})
+        table = pa.table({"data": pa.array([data[stays].tobytes()], pa.large_binary()), "cells": pa.array([_packed(cells)], pa.large_binary())})
         return pd.DataFrame({"block": [block], "n_bytes": [int(stays.sum())], "payload": [B.pack_table(table)], "found": [found]})
 
     def opened(table: pa.Table, have: B.Replies, block: int) -> pd.DataFrame:
@@ -148,19 +162,19 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
     def refined(table: pa.Table, level: int) -> tuple:
         """Entries of a block's cells, sorted: pointers of the shared and the spanned string, with how many cells; the cells, and which entry each has."""
         data = np.frombuffer(table["data"][0].as_buffer(), np.uint8)
-        cells = B.expand(table["cells"][0].as_py(), *["i8"] * 8)
+        cells = _unpacked(table["cells"][0].as_py())
         place, _, _, lo, hi, _, o1, o2 = cells
-        one, two = (Pointers(data, lane, q, length + width) for lane in (0, 1))
-        core = one.of(place + o2, place + o1 + length)
+        # equal spans need both to agree: 128 bits, by codes of their own
+        core = Pointers(data, 0, q, length + width).of(place + o2, place + o1 + length)
         a, b = np.maximum(place + o1, lo), np.minimum(place + o2 + length, hi)
-        span, span2 = one.of(a, b) ^ mix((a - place).astype(U64) + U64(level << 32)), two.of(a, b)
-        order = np.lexsort((span2, span, core))
-        c, s, t = core[order], span[order], span2[order]
-        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])])
+        span = Pointers(data, 1, q, length + width).of(a, b) ^ mix((a - place).astype(U64) + U64(level << 32))
+        order = np.lexsort((span, core))
+        c, s = core[order], span[order]
+        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
         head = np.flatnonzero(fresh)
         of = np.empty(len(c), np.int64)
         of[order] = np.cumsum(fresh) - 1
-        return (c[head], s[head], t[head]), np.diff([*head, len(c)]) > 1, data, cells, of
+        return (c[head], s[head]), np.diff([*head, len(c)]) > 1, data, cells, of
 
     def asker(level: int) -> Callable:
         def emit(table: pa.Table, _: B.Replies, block: int) -> list[tuple[int, bytes]]:
@@ -170,12 +184,12 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
         return emit
 
     def judge(blobs: list[bytes], _: list[int]) -> list[bytes]:
-        read = [B.expand(x, "u8", "u8", "u8", "u1") for x in blobs]
-        core, span, span2, many = (np.concatenate([x[i] for x in read]) for i in range(4))
-        order = np.lexsort((span2, span, core))
-        c, s, t = core[order], span[order], span2[order]
+        read = [B.expand(x, "u8", "u8", "u1") for x in blobs]
+        core, span, many = (np.concatenate([x[i] for x in read]) for i in range(3))
+        order = np.lexsort((span, core))
+        c, s = core[order], span[order]
         new_core = np.concatenate([[True], c[1:] != c[:-1]])
-        new_span = new_core | np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])])
+        new_span = new_core | np.concatenate([[True], s[1:] != s[:-1]])
         weight = many[order].astype(np.int64) + 1
         heads = np.flatnonzero(new_span)
         yes = np.repeat(np.add.reduceat(weight, heads) > 1, np.diff([*heads, len(c)]))
