@@ -53,12 +53,16 @@ def temporal_join(fact: DataFrame, dim: DataFrame, fact_key: str, fact_date: str
     return fact.join(d, on, how).drop("_k", "_f", "_t")
 
 
+def with_rate(df: DataFrame, rates: DataFrame, currency: str, on: str, base: str, out: str) -> DataFrame:
+    """Forward-filled rates (currency, fx_date, rate): each holds until the next; base is 1; before a currency's first rate there is none."""
+    r = intervals(rates.select(F.col("currency").alias("_currency"), "fx_date", "rate"), ["_currency"], "fx_date").withColumnRenamed("rate", "_rate")
+    joined = temporal_join(df, r, currency, on, "_currency", ["_rate"])
+    return joined.withColumn(out, F.when(F.col(currency) == base, F.lit(1)).otherwise(F.col("_rate")).cast("decimal(18,6)")).drop("_rate")
+
+
 def to_base_currency(df: DataFrame, rates: DataFrame, amount: str, currency: str, on: str, base: str, out: str) -> DataFrame:
-    """Forward-filled rates: each holds until the next; base is 1; before a currency's first rate the result is null."""
-    r = intervals(rates.select("currency", "fx_date", "rate"), ["currency"], "fx_date").withColumnRenamed("rate", "_rate")
-    joined = temporal_join(df, r, currency, on, "currency", ["_rate"])
-    rate = F.when(F.col(currency) == base, F.lit(1)).otherwise(F.col("_rate"))
-    return joined.withColumn(out, (F.col(amount) * rate).cast("decimal(18,2)")).drop("_rate")
+    """An amount at the rate of its day, in hundredths."""
+    return with_rate(df, rates, currency, on, base, "_fx").withColumn(out, (F.col(amount) * F.col("_fx")).cast("decimal(18,2)")).drop("_fx")
 
 
 def expand_days(df: DataFrame, start: str, end: str, out: str) -> DataFrame:
@@ -67,9 +71,12 @@ def expand_days(df: DataFrame, start: str, end: str, out: str) -> DataFrame:
     return df.where(F.col(start) < F.col(end)).withColumn(out, F.explode(F.sequence(F.col(start), last)))
 
 
-def lookup_as_of(fact: DataFrame, dim: DataFrame, sk: str, key: str, on: str, date: str, out: str | None = None) -> DataFrame:
-    """The surrogate key of the version that held on the fact's date, -1 where there is none. Special members have no period of their own."""
-    d = dim.where(F.col(sk) > 0).select(F.col(key).alias("_k"), F.col("valid_from").alias("_f"), F.col("valid_to").alias("_t"), F.col(sk).alias("_sk"))
+def lookup_as_of(fact: DataFrame, dim: DataFrame, sk: str, key: str, on: str, date: str, out: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The surrogate key of the version that held on the fact's date, -1 where there is none, and `columns` of it.
+
+    Special members have no period of their own.
+    """
+    d = dim.where(F.col(sk) > 0).select(F.col(key).alias("_k"), F.col("valid_from").alias("_f"), F.col("valid_to").alias("_t"), F.col(sk).alias("_sk"), *columns)
     match = (fact[on] == d["_k"]) & (fact[date] >= d["_f"]) & (fact[date] < d["_t"])
     return fact.join(d, match, "left").withColumn(out or sk, F.coalesce("_sk", F.lit(-1))).drop("_k", "_f", "_t", "_sk")
 

@@ -45,3 +45,79 @@ def date_dimension(spark, start: str, end: str, holidays: DataFrame) -> DataFram
         F.date_format(F.add_months(d, -12), "yyyyMMdd").cast("int").alias("ly_date_key"),
         ((F.weekday(d) < 5) & ~F.coalesce(F.col("full_day"), F.lit(False))).cast("int").alias("is_working_day"),
     )
+
+
+def _share(top: Column, bottom: Column) -> Column:
+    return F.try_divide(top.cast("double"), bottom.cast("double"))
+
+
+def sale_measures(sales: DataFrame, by: list[str]) -> DataFrame:
+    """Sums, weighted rates, days in stock of new vehicles alone, trade-ins, and days from order to delivery."""
+    net, listed, discount, margin = (F.sum(c) for c in ("net_sale_amount", "list_price", "discount_amount", "vehicle_margin_amount"))
+    trade_ins = F.count_if(F.col("trade_in_vehicle_sk") > 0)
+    return sales.groupBy(*by).agg(
+        F.count("*").alias("sale_count"), net.alias("net_sale"), listed.alias("list_price"), discount.alias("discount"), margin.alias("gross_margin"),
+        _share(discount, listed).alias("discount_rate"), _share(margin, net).alias("gross_margin_rate"), _share(net, F.count("*")).alias("average_selling_price"),
+        F.avg(F.when(F.col("sale_type") == "NEW", F.col("days_in_stock"))).alias("average_days_in_stock"), trade_ins.alias("trade_in_count"),
+        _share(trade_ins, F.count("*")).alias("trade_in_rate"), F.avg("order_to_delivery_days").alias("average_order_to_delivery"),
+    )
+
+
+def service_measures(orders: DataFrame, by: list[str]) -> DataFrame:
+    """Revenue, hours (missing ones don't count), the share of waiting for parts, open orders, and serviced vehicles."""
+    revenue, wait, cycle = F.sum("total_amount"), F.sum("parts_wait_hours"), F.sum("total_cycle_hours")
+    vehicles = F.count_distinct(F.when(F.col("vehicle_sk") > 0, F.col("vin")))
+    return orders.groupBy(*by).agg(
+        F.count("*").alias("repair_order_count"), F.sum("total_labour_amount").alias("labour_revenue"), F.sum("total_part_amount").alias("part_revenue"), revenue.alias("service_revenue"),
+        F.sum("customer_payable_amount").alias("customer_payable"), F.sum("total_warranty_amount").alias("warranty"), F.avg("total_cycle_hours").cast("double").alias("avg_cycle_hours"),
+        F.avg("touch_time_hours").cast("double").alias("avg_touch_hours"), F.avg("parts_wait_hours").cast("double").alias("avg_parts_wait_hours"), _share(wait, cycle).alias("parts_wait_share"),
+        F.count_if(F.col("status") == "WAITING_PARTS").alias("orders_awaiting_parts"), F.sum("is_open").alias("open_orders"), vehicles.alias("serviced_vehicles"), _share(revenue, vehicles).alias("revenue_per_vehicle"),
+    )
+
+
+def warranty_cost_ratio(orders: DataFrame, sales: DataFrame, by: list[str]) -> DataFrame:
+    """Warranty cost over net sales at a common grain, whatever filter the sales are under."""
+    cost = orders.groupBy(*by).agg(F.sum("total_warranty_amount").alias("warranty"))
+    net = sales.groupBy(*by).agg(F.sum("net_sale_amount").alias("net_sale"))
+    return cost.join(net, by, "left").withColumn("warranty_cost_ratio", _share(F.col("warranty"), F.col("net_sale")))
+
+
+def claim_measures(claims: DataFrame, by: list[str]) -> DataFrame:
+    claimed, approved = F.sum("claimed_amount"), F.sum("approved_amount")
+    return claims.groupBy(*by).agg(F.count("*").alias("claims"), claimed.alias("claimed"), approved.alias("approved"), _share(approved, claimed).alias("approval_by_value"), F.sum("unreimbursed_amount").alias("unreimbursed"))
+
+
+def recall_measures(coverage: DataFrame, by: list[str]) -> DataFrame:
+    done = F.sum("is_completed")
+    return coverage.groupBy(*by).agg(F.count("*").alias("coverage"), done.alias("completed"), _share(done, F.count("*")).alias("completion_rate"), F.count_if(F.col("is_completed") == 0).alias("outstanding"), F.avg("days_outstanding").alias("avg_days_outstanding"))
+
+
+def purchase_measures(purchases: DataFrame, by: list[str]) -> DataFrame:
+    """On-time rate over lines whose lateness is known; the delay is signed."""
+    ordered, received, late = F.sum("ordered_quantity"), F.sum("received_quantity"), F.sum("is_late")
+    return purchases.groupBy(*by).agg(
+        F.count("*").alias("po_lines"), F.sum("line_amount").alias("purchase_amount"), ordered.alias("ordered"), received.alias("received"), late.alias("late_lines"),
+        (1 - _share(late, F.count("is_late"))).alias("on_time_rate"), F.avg("delay_days").alias("avg_delay_days"), _share(received, ordered).alias("fill_rate"),
+    )
+
+
+def quality_measures(results: DataFrame, by: list[str]) -> DataFrame:
+    violated, evaluated = F.sum("rows_violated"), F.sum("rows_evaluated")
+    n = lambda cond: F.count_if(cond)
+    quarantined = F.sum(F.when(F.col("severity") == "critical", F.col("rows_violated")).otherwise(0))
+    return results.groupBy(*by).agg(
+        F.count("*").alias("rules_evaluated"), violated.alias("rows_violated"), evaluated.alias("rows_evaluated"), _share(violated, evaluated).alias("violation_rate"),
+        n((F.col("severity") == "critical") & (F.col("rows_violated") > 0)).alias("critical_rules"), n(F.col("status").isin("FAILED", "SUSPECT")).alias("failed_rules"),
+        n(F.col("status") == "ERROR").alias("errored_rules"), _share(quarantined, evaluated).alias("quarantine_rate"),
+    )
+
+
+def with_activity(dealers: DataFrame, sales: DataFrame, orders: DataFrame, key: str = "dealer_code") -> DataFrame:
+    """Each dealer with 1 where it has a sale or an order, else 0."""
+    active = sales.select(key).unionByName(orders.select(key)).distinct().withColumn("has_activity", F.lit(1))
+    return dealers.join(active, key, "left").withColumn("has_activity", F.coalesce("has_activity", F.lit(0)))
+
+
+def top(df: DataFrame, n: int, measure: str, *ties: str) -> DataFrame:
+    """The n rows with the largest measure, largest first, nulls last; ties in the given order."""
+    return df.orderBy(F.col(measure).desc_nulls_last(), *ties).limit(n)
