@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeforge.functions import cleaning as C
 from lakeforge.functions.cleaning import richness
 from lakeforge.operators.scd2 import with_surrogate
 
@@ -84,3 +85,54 @@ def evaluate(truth: DataFrame, predicted: DataFrame, on: list[str]) -> DataFrame
     n = both.agg(F.sum(F.when(F.col("t").isNotNull() & F.col("p").isNotNull(), 1).otherwise(0)).alias("tp"), F.sum(F.when(F.col("t").isNull(), 1).otherwise(0)).alias("fp"), F.sum(F.when(F.col("p").isNull(), 1).otherwise(0)).alias("fn"))
     n = n.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
     return n.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+#: The blocks by which two sides meet.
+BLOCKS = ("identity", "phone", "email", "name_city")
+
+
+def standardise(df: DataFrame, key: str, prefix: str, salt: str) -> DataFrame:
+    """A side's id and its matching columns, named after the side: name, identity hash, phone, e-mail, city, and the block of name and city.
+
+    Reads full_name, identity_no, phone, email and city. A missing city leaves no block of name and city.
+    """
+    name = C.strip_company_suffix(C.normalise_for_matching(F.col("full_name")))
+    values = {"name": name, "identity": C.hash_pii(F.col("identity_no"), salt), "phone": C.phone_key(F.col("phone")), "email": C.email_key(F.col("email")), "city": C.normalise_for_matching(F.col("city"))}
+    out = df.select(F.col(key).alias(f"{prefix}_id"), *(v.alias(f"{prefix}_{n}") for n, v in values.items()))
+    block = F.when((F.col(f"{prefix}_name") != "") & (F.col(f"{prefix}_city") != ""), F.concat(F.substring(f"{prefix}_name", 1, 6), F.lit("|"), F.col(f"{prefix}_city")))
+    return out.withColumn(f"{prefix}_name_city", block)
+
+
+def blocked(left: DataFrame, right: DataFrame, l: str, r: str, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """Distinct pairs of ids that share a block of two standardised sides."""
+    a = left.select(f"{l}_id", *(F.col(f"{l}_{b}").alias(b) for b in blocks))
+    b = right.select(f"{r}_id", *(F.col(f"{r}_{x}").alias(x) for x in blocks))
+    return candidates(a, b, list(blocks), f"{l}_id", f"{r}_id")
+
+
+def oversized_blocks(left: DataFrame, right: DataFrame, l: str, r: str, most: int, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """Blocks whose pairs are more than `most`, with their sizes: a shared phone of a call centre, say. They are reported, not dropped."""
+    parts = []
+    for b in blocks:
+        a, c = (x.where(F.coalesce(F.col(f"{p}_{b}"), F.lit("")) != "").groupBy(F.col(f"{p}_{b}").alias("value")).agg(F.count("*").alias(n)) for x, p, n in ((left, l, "n_left"), (right, r, "n_right")))
+        parts.append(a.join(c, "value").where(F.col("n_left") * F.col("n_right") > most).withColumn("block", F.lit(b)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def publish(records: DataFrame, salt: str) -> DataFrame:
+    """The records with personal values hashed and masked; the raw ones are gone."""
+    masks = {"identity": C.mask_identity_no, "phone": C.mask_phone, "email": C.mask_email}
+    held = [c for c in masks if c in records.columns]
+    hidden = [x for c in held for x in (C.hash_pii(F.col(c), salt).alias(f"{c}_hash"), masks[c](F.col(c)).alias(f"{c}_masked"))]
+    return records.select(*(c for c in records.columns if c not in held), *hidden)
+
+
+def xref(records: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Which source ids stand for which master."""
+    return records.select("master_id", left_id, right_id, "source_presence")
+
+
+def evaluate_by(truth: DataFrame, predicted: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Recall of the true pairs by a column of the truth, such as the difficulty, and the pairs that were missed as a count."""
+    hit = truth.join(predicted.select(*on, F.lit(1).alias("_hit")), on, "left")
+    return hit.groupBy(by).agg(F.count("*").alias("pairs"), F.count("_hit").alias("found"), F.count_if(F.col("_hit").isNull()).alias("missed"), F.try_divide(F.count("_hit"), F.count("*")).alias("recall"))

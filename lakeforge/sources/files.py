@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeforge.functions.cleaning import row_hash
+from lakeforge.functions.cleaning import parse_date, parse_timestamp, row_hash
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,11 @@ def dated_paths(spark: SparkSession, root: str, watermark: str | None) -> list[s
     return [f"{root}/{n}" for n in names if not watermark or n > watermark[:10]]
 
 
+def _time(c):
+    """Formats are mixed, so marks are compared as times."""
+    return F.coalesce(parse_timestamp(c), parse_date(c).cast("timestamp"))
+
+
 def read_feed(spark: SparkSession, feed: Feed, watermark: str | None = None) -> DataFrame | None:
     """The feed's new rows with audit input; None where no folder is new. ValueError for an unknown format."""
     if feed.format not in READERS:
@@ -109,7 +114,7 @@ def read_feed(spark: SparkSession, feed: Feed, watermark: str | None = None) ->
         return None
     df = READERS[feed.format](spark, feed, paths)
     if watermark and feed.watermark_column and not feed.dated_folders:
-        df = df.where(F.col(feed.watermark_column) > watermark)
+        df = df.where(_time(F.col(feed.watermark_column)) > _time(F.lit(watermark)))
     return df
 
 
@@ -120,13 +125,6 @@ def with_audit(df: DataFrame, feed: Feed, batch_id: str) -> DataFrame:
     return df.withColumns({"_ingest_ts": F.current_timestamp(), "_source_system": F.lit(feed.system), "_source_file": source, "_batch_id": F.lit(batch_id), "_row_hash": row_hash(business)})
 
 
-def replace_batch(df: DataFrame, path: str) -> int:
-    """Appends a batch, replacing an earlier run of the same one; returns the rows that are there now."""
-    df.write.mode("overwrite").partitionBy("_batch_id").option("partitionOverwriteMode", "dynamic").parquet(path)
-    there = df.sparkSession.read.parquet(path).withColumn("_batch_id", F.col("_batch_id").cast("string"))
-    return there.join(df.select("_batch_id").distinct(), "_batch_id", "left_semi").count()
-
-
 def new_watermark(old: str | None, new: str | None) -> str | None:
     """Moves forward only."""
     return new if new and (not old or new > old) else old

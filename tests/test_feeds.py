@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lakeforge.operators import matching, quality, scd2
-from lakeforge.sources.files import Feed, new_watermark, read_feed, replace_batch, with_audit
+from lakeforge.sources.files import Feed, new_watermark, read_feed, with_audit
+from lakeforge.sources.sinks import read_table, replace_batch
 from lakeforge.streaming.feeds import ingest_available, read_stream, windowed_counts
 
 
@@ -14,10 +15,12 @@ def test_csv_and_batches(spark, tmp_path):
     df = with_audit(read_feed(spark, feed), feed, "b1")
     assert {r["ad"] for r in df.collect()} == {"Şule", "Işık"}
     out = str(tmp_path / "out")
-    assert replace_batch(df, out) == 2
-    assert replace_batch(df.where("id = '1'"), out) == 1
-    assert replace_batch(df.withColumn("_batch_id", F.lit("b2")), out) == 2
-    assert spark.read.parquet(out).count() == 3
+    assert replace_batch(df, out, "b1") == {"rows_read": 2, "rows_written": 2, "rows_rejected": 0}
+    assert replace_batch(df.where("id = '1'"), out, "b1")["rows_written"] == 1
+    assert replace_batch(df.withColumn("more", F.lit(1)), out, "2")["rows_written"] == 2
+    assert {(r._batch_id, r.more) for r in read_table(spark, out).collect()} == {("b1", None), ("2", 1)}
+    assert replace_batch(df.where("false"), out, "b1")["rows_written"] == 0
+    assert read_table(spark, out).count() == 2
 
 
 def test_watermark_and_folders(spark, tmp_path):
