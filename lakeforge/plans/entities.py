@@ -279,7 +279,6 @@ SALE_COLUMNS = "contract_no, contract_date_key, delivery_date_key, invoice_date_
 ORDER_FACT_COLUMNS = f"repair_order_no, {', '.join(f'{s}_date_key' for s in _STAGE_DAYS)}, vehicle_sk, customer_sk, dealer_sk, service_advisor_sk, technician_sk, service_type_sk, flag_sk, total_amount, labour_hours_sold, total_cycle_hours, odometer_km, status, is_open"
 LINE_COLUMNS = "repair_order_no, line_no, checkin_date_key, vehicle_sk, customer_sk, dealer_sk, technician_sk, service_type_sk, part_sk, line_type, operation_code, quantity, labour_hours, unit_price, line_amount, warranty_amount, customer_amount"
 PURCHASE_COLUMNS = "po_no, po_line_no, order_date_key, promised_date_key, delivery_date_key, supplier_sk, part_sk, ordered_quantity, received_quantity, shortfall_quantity, unit_cost, line_amount, delay_days, is_late, status, currency_code, fx_rate_to_try"
-STOCK_COLUMNS = "vin, snapshot_date_key, vehicle_sk, dealer_sk, model_sk, days_in_stock, stock_value_amount, age_band"
 RECALL_COLUMNS = "campaign_code, vin, campaign_name, category, launch_date_key, notified_date_key, completed_date_key, vehicle_sk, model_sk, dealer_sk, is_completed, days_to_complete, days_outstanding"
 
 
@@ -395,10 +394,11 @@ def fact_part_purchase(spark, d):
     return _only(_purchase_facts(spark, d), PURCHASE_COLUMNS)
 
 
-@query(_with("SELECT snapshot_date_key, vehicle_sk, dealer_sk, model_sk, age_band, count(*) AS vehicles, sum(stock_value_amount) AS stock_value, max(days_in_stock) AS oldest FROM f_stock GROUP BY ALL"))
+@query(_with("SELECT snapshot_date_key, age_band, count(*) AS vehicles, sum(stock_value_amount) AS stock_value, max(days_in_stock) AS oldest, sum(vehicle_sk) AS vehicle_sks, sum(dealer_sk) AS dealer_sks, sum(model_sk) AS model_sks FROM f_stock GROUP BY ALL"))
 def fact_inventory_daily(spark, d):
-    """Stock by day and keys: as many rows as the fact has, less those of vehicles without a version."""
-    return _stock(spark, d).groupBy("snapshot_date_key", "vehicle_sk", "dealer_sk", "model_sk", "age_band").agg(F.count("*").alias("vehicles"), F.sum("stock_value_amount").alias("stock_value"), F.max("days_in_stock").alias("oldest"))
+    """Stock by day and age band, with sums over the keys of all its rows."""
+    sums = {"stock_value": "stock_value_amount", "vehicle_sks": "vehicle_sk", "dealer_sks": "dealer_sk", "model_sks": "model_sk"}
+    return _stock(spark, d).groupBy("snapshot_date_key", "age_band").agg(F.count("*").alias("vehicles"), F.max("days_in_stock").alias("oldest"), *(F.sum(c).alias(n) for n, c in sums.items()))
 
 
 @query(_with(f"SELECT {RECALL_COLUMNS} FROM f_recall"))

@@ -18,7 +18,7 @@ def test_a_failing_rule_stops_no_other(spark):
     assert {r.rule_code: r.status for r in results.collect()} == {"NONE": "PASSED", "SOME": "FAILED", "MANY": "SUSPECT", "BROKEN": "ERROR", "RAISES": "ERROR", "KIND": "ERROR"}
     kept, bad = rules.quarantine(t, "vehicle", found.where("rule_code = 'SOME'"))
     assert [r.vin for r in kept.collect()] == ["2"] and [(r.vin, r.quarantine_reason) for r in bad.collect()] == [("1", "SOME")]
-    assert rules.summary(results).where("severity = 'critical'").first().asDict() == {"batch_id": "b", "severity": "critical", "rules": 5, "passed": 1, "failed": 1, "suspect": 1, "error": 2, "rows_evaluated": 10 - 0, "rows_violated": 3}
+    assert rules.summary(results).where("severity = 'critical'").first().asDict() == {"batch_id": "b", "severity": "critical", "rules": 5, "passed": 1, "failed": 1, "suspect": 1, "error": 2, "rows_evaluated": 10, "rows_violated": 3}
     empty, _ = rules.evaluate({"vehicle": t.where("false")}, loaded[:3], "b")
     assert {r.status for r in empty.collect()} == {"PASSED"}
     with pytest.raises(ValueError, match="no rules"):
