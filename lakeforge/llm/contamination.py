@@ -45,24 +45,30 @@ def _shingles(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: _shingle(w, i, k))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _once(value: Column, use) -> Column:
+    """`use(value)`, with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def simhash(shingles: Column) -> Column:
     """Two 64-bit words: each bit is one where more than half of the shingles' hashes have it."""
-    n = F.size(shingles)
+    long = lambda n: F.lit(n).cast("long")
 
-    def word(salt: int) -> Column:
-        hashes = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(salt)))
-        bit = lambda h, b: F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long"))
-        most = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + bit(h, b)) * 2 > n
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: F.when(most(b), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc))
+    def word(hashes: Column) -> Column:
+        votes = lambda b: F.aggregate(hashes, long(0), lambda acc, h: acc + F.call_function("shiftright", h, b).bitwiseAND(long(1)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), long(0), lambda acc, b: F.when(votes(b) * 2 > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", long(1), b))).otherwise(acc))
 
-    return F.array(word(1), word(2))
+    return F.array(_once(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(1))), word), _once(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(2))), word))
 
 
 def within(a: Column, b: Column, radius: int) -> Column:
     """Fingerprints of at most `radius` different bits: some block of 16 has few enough, then all bits are counted."""
-    words = [F.get(a, i).bitwiseXOR(F.get(b, i)) for i in range(2)]
-    blocks = [F.bit_count(F.shiftrightunsigned(w, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))) for w in words for i in range(4)]
-    return (F.least(*blocks) <= radius // len(blocks)) & (F.bit_count(words[0]) + F.bit_count(words[1]) <= radius)
+
+    def close(words: Column) -> Column:
+        blocks = [F.bit_count(F.shiftrightunsigned(F.get(words, F.lit(w)), 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))) for w in (0, 1) for i in range(4)]
+        return (F.least(*blocks) <= radius // len(blocks)) & (F.bit_count(F.get(words, F.lit(0))) + F.bit_count(F.get(words, F.lit(1))) <= radius)
+
+    return _once(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), close)
 
 
 def find_contamination(
