@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 from lakeforge.plans.queries import queries
 
+#: Left out: queries that differ from a timed one in their last step only.
+VARIANTS = {"rule_violations", "rule_scorecard", "quality_measures", "fact_data_quality", "quarantine_lines", "star_checks", "agg_monthly_targets", "warranty_cost", "workshop_utilisation", "sale_measures", "service_measures", "agg_monthly_sales", "silver_masters", "dashboard_sales", "dashboard_services"}
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -18,6 +21,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name, query in queries().items():
+        if name in VARIANTS:
+            continue
         query(spark, folder).write.format("noop").mode("overwrite").save()  # compiles
         began = time.perf_counter()
         query(spark, folder).write.format("noop").mode("overwrite").save()
