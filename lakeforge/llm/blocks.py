@@ -18,6 +18,7 @@ partitioning that the checkpoint kept.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 #: Compressed bytes of texts in a partition, beyond the session's number of shuffle partitions.
@@ -134,6 +136,13 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all().combine_chunks()
 
 
+def release() -> None:
+    """Gives freed memory back, so that a worker's next block does not stand beside the last one's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 Replies = dict[int, dict[int, bytes]]
 
 
@@ -152,10 +161,12 @@ def each_block(blocks: Blocks, replies: DataFrame | None, run: Callable[[pa.Tabl
             for frame in frames:
                 for block, payload in zip(frame["block"], frame["payload"], strict=True):
                     yield run(unpack(payload), {}, int(block))
+                    release()
 
         return blocks.df.select("block", "payload").mapInPandas(alone, schema)
 
     def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        release()
         if not len(left):
             return empty
         return run(unpack(left["payload"].iloc[0]), _held(right), int(left["block"].iloc[0]))

@@ -27,12 +27,15 @@ _LOWER[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit reaches each output bit."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
-    x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
-    return x
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    t = y >> U64(27)
+    y ^= t
+    y *= U64(0x94D049BB133111EB)
+    t = y >> U64(31)
+    y ^= t
+    return y
 
 
 def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:

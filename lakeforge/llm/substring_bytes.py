@@ -36,6 +36,8 @@ from lakeforge.llm.hashing import Prefix, Texts, covered, mix
 U64 = np.uint64
 #: Initial buckets go by the upper 48 bits: a chance meeting only opens a cell.
 SHORT = U64(16)
+#: Starts whose places are chosen at a time.
+PIECE = 1 << 20
 
 
 def cell_sizes(width: int) -> list[int]:
@@ -90,6 +92,26 @@ def _chosen(grams: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np
     return place[at], starts[at], starts[np.concatenate([at[1:] - 1, [len(starts) - 1]])], text[at]
 
 
+def chosen_places(column: pa.ChunkedArray, length: int, q: int, piece: int) -> tuple:
+    """Texts; of each chosen place its initial bucket, itself, the first and last start, its text.
+
+    By `piece` starts at a time, so that a very long text needs no more memory than its bytes.
+    """
+    texts = Texts(column)
+    parts = []
+    for low in range(0, len(texts.data), piece):
+        data = texts.data[low : low + piece + length - 1]
+        first, last = np.searchsorted(texts.off, [low, low + len(data)], side="right") - 1
+        off = np.clip(texts.off[first : last + 2], low, low + len(data)) - low
+        grams = Prefix.of_bytes(data).sliding(q)
+        place, s1, s2, text = _chosen(grams, off, length, q)
+        parts.append((grams[place] >> SHORT << SHORT, place + low, s1 + low, s2 + low, text.astype(np.int64) + first))
+    key, place, s1, s2, text = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, U64 if i == 0 else np.int64) for i in range(5))
+    # a place that starts of two pieces choose is one
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])) if len(place) else np.zeros(0, np.int64)
+    return texts, key[new], place[new], s1[new], s2[np.append(new[1:], len(place))[: len(new)] - 1], text[new]
+
+
 def _packed(cells: list[np.ndarray]) -> bytes:
     """Places and moves by their differences, all else from the place: small numbers."""
     place, s1, s2, lo, hi, shift, o1, o2 = cells
@@ -115,11 +137,7 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
     buckets = blocks.buckets(0.25)
 
     def chosen(table: pa.Table) -> tuple:
-        """Texts; of each chosen place its initial bucket, itself, the first and last start, its text."""
-        texts = Texts(table[column])
-        grams = Prefix.of_bytes(texts.data).sliding(q)
-        place, *more = _chosen(grams, texts.off, length, q)
-        return texts, grams[place] >> SHORT << SHORT, place, *more
+        return chosen_places(table[column], length, q, PIECE)
 
     def initial(table: pa.Table, _: B.Replies, block: int) -> list[tuple[int, bytes]]:
         keys, count = np.unique(chosen(table)[1], return_counts=True)

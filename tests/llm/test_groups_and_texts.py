@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,24 @@ def test_near_misses_of_one_text_in_chunks(spark):
         near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def test_places_are_chosen_by_pieces():
+    """The same places, starts and texts whatever the pieces."""
+    from lakeforge.llm import substring_bytes as S
+
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(0, 90, 60)
+    lengths[[3, 30]] = 700
+    off = np.concatenate([[0], np.cumsum(lengths)])
+    data = rng.integers(97, 100, off[-1]).astype(np.uint8)
+    table = pa.table({"t": pa.array([data[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.large_binary())})
+    grams = S.Prefix.of_bytes(data).sliding(10)
+    place, s1, s2, text = S._chosen(grams, off, 40, 10)
+    for piece in (1, 7, 64, 333, 1 << 20):
+        _, key, *got = S.chosen_places(table["t"], 40, 10, piece)
+        assert all(np.array_equal(x, y) for x, y in zip(got, (place, s1, s2, text), strict=True))
+        assert np.array_equal(key, grams[place] >> S.SHORT << S.SHORT)
+
+
 @pytest.mark.parametrize("length", [90, 57, 25, 20])
 def test_passages_beside_strings(spark, length):
     """Strings of `length` bytes removed, repeated passages of over 12 words or 80 bytes counted."""
