@@ -37,7 +37,7 @@ U64 = np.uint64
 #: Initial buckets go by the upper 48 bits: a chance meeting only opens a cell.
 SHORT = U64(16)
 #: Starts whose places are chosen at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def cell_sizes(width: int) -> list[int]:
@@ -137,7 +137,9 @@ def repeated_strings(blocks: B.Blocks, column: str, length: int, q: int | None =
     buckets = blocks.buckets(0.25)
 
     def chosen(table: pa.Table) -> tuple:
-        return chosen_places(table[column], length, q, PIECE)
+        """Keys are scrambled: a chosen fingerprint is the least of `width`, so that most would share the first buckets."""
+        texts, key, *where = chosen_places(table[column], length, q, PIECE)
+        return texts, mix(key) >> SHORT << SHORT, *where
 
     def initial(table: pa.Table, _: B.Replies, block: int) -> list[tuple[int, bytes]]:
         keys, count = np.unique(chosen(table)[1], return_counts=True)
