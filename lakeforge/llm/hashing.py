@@ -9,14 +9,17 @@ fingerprints wherever they stand. Two independent lanes make 128 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401, pa.compute
 
 U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _CODES = [np.random.default_rng(1000 + lane).integers(1, 2**63, 256, dtype=np.uint64) for lane in range(2)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_STEP, _KEPT = 1 << 18, 1 << 21
+_STEP, _KEPT = 1 << 18, 5 << 18
 
 #: The separators of a word, `[\x20\x09-\x0D]`.
 SPACE = np.zeros(256, bool)
@@ -75,6 +78,15 @@ class Prefix:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + U64(width))
 
 
+def sliced(batch: pa.RecordBatch, column: str | int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `size` bytes of text, or one text: memory is bounded whatever the batch."""
+    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)) if batch.num_rows else np.zeros(0)
+    part = (np.cumsum(lengths + 16) // size).astype(int)
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+        yield batch.slice(int(at[0]), len(at))
+
+
 class Texts:
     """The texts of an Arrow string column, null as empty, as one byte array with offsets."""
 

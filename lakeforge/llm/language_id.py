@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeforge.llm.hashing import mix
+from lakeforge.llm.hashing import mix, sliced
 
 #: The first and last code point of main script ranges, and the script's number.
 SCRIPTS = [
@@ -79,22 +79,13 @@ class Chars:
         self.script = np.where(hit, number[at], 0)
 
 
-def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of at most SLICE_BYTES of text, or one text: memory is bounded whatever the batch."""
-    size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)) if batch.num_rows else np.zeros(0)
-    part = (np.cumsum(size) // SLICE_BYTES).astype(int)
-    for p in np.unique(part):
-        at = np.flatnonzero(part == p)
-        yield batch.slice(int(at[0]), len(at))
-
-
 def learn(df: DataFrame, text_col: str, lang_col: str, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities of trigram buckets, and which language uses which script, of all rows of `df`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE_BYTES):
                 langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text")
                 for lang in dict.fromkeys(langs):
                     chars = Chars(texts.take(pa.array(np.flatnonzero(langs == lang))).to_pylist(), buckets)
@@ -195,7 +186,7 @@ def identify(df: DataFrame, train: Column | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE_BYTES):
                 out = label(batch.select(["text", "train"]).to_pandas().assign(id=0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("train"), pa.array(out["lang_pred"].tolist(), pa.string()), pa.array(out["score"].to_numpy(), pa.float64()), pa.array(out["spans"].tolist(), SPANS)],

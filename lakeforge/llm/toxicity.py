@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeforge.llm.hashing import Texts
+from lakeforge.llm.hashing import Texts, sliced
 
+#: Texts are taken by so many bytes at a time.
+SLICE_BYTES = 1 << 19
 #: ASCII characters that are neither letters nor digits part words.
 _TOKEN = np.arange(256, dtype=np.uint8)
 _TOKEN[[i for i in range(128) if not chr(i).isalnum()]] = 32
@@ -128,7 +130,7 @@ def classify(
     `max_train_rows` labelled ids with the least hash, so it is the same whatever the partitions. With no usable
     labels, or one class, a category's probability is its smoothed rate. Returns id_col, the columns `keep`,
     p_<category> and rejected, each name with `suffix`, which tells them from columns of `keep`; one row per input
-    row, repeated and null ids too; null and empty texts have no words. Texts are scored by a few MB at a time, a very
+    row, repeated and null ids too; null and empty texts have no words. Texts are scored by half a MB at a time, a very
     long one alone. Other columns don't take part, whatever their names; an empty table gives no rows.
     """
     keep = [id_col, *[c for c in keep or [] if c != id_col]]
@@ -142,14 +144,15 @@ def classify(
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, key = features(batch.column("text"))
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            raw = key.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(batch.column(f"y{i}") for i in range(len(names))), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
-                names=["id", *(f"y{i}" for i in range(len(names))), "words"],
-            )
+        for whole in batches:
+            for batch in sliced(whole, "text", SLICE_BYTES):
+                row, key = features(batch.column("text"))
+                at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                raw = key.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), *(batch.column(f"y{i}") for i in range(len(names))), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
+                    names=["id", *(f"y{i}" for i in range(len(names))), "words"],
+                )
 
     fields = [T.StructField("id", df.schema[id_col].dataType), *(sample.schema[f"y{i}"] for i in range(len(names))), T.StructField("words", T.BinaryType())]
     # One text an id, so that repeated ids don't lift the bound.
@@ -163,8 +166,7 @@ def classify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in sliced(whole, whole.num_columns - 1, SLICE_BYTES):
                 r, k = features(batch.column(batch.num_columns - 1))
                 p = np.zeros((batch.num_rows, 0))
                 for model in chain:
