@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeforge.llm import licenses
+from lakeforge.llm import licenses, rolling_median
 from lakeforge.llm.contamination import find_contamination
 from lakeforge.llm.jaccard_join import near_duplicates
 from lakeforge.llm.language_id import identify
@@ -86,9 +86,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes")
 
 
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians and median deviations of the 360 minutes up to each click, by kind."""
+    return rolling_median.rolling_medians(_read(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle()}
+    return {"op5_license_scan": licenses.oracle(), "op12_rolling_median": rolling_median.oracle()}
