@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeforge.llm import licenses, rolling_median
+from lakeforge.llm import licenses, packages, rolling_median
 from lakeforge.llm.contamination import find_contamination
 from lakeforge.llm.jaccard_join import near_duplicates
 from lakeforge.llm.language_id import identify
@@ -91,9 +91,15 @@ def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_median.rolling_medians(_read(spark, sf_dir, "clicks"))
 
 
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` written as WARC records into ZIP packages and read back by ranges."""
+    out = packages.round_trip(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle(), "op12_rolling_median": rolling_median.oracle()}
+    return {"op5_license_scan": licenses.oracle(), "op12_rolling_median": rolling_median.oracle(), "op13_warc_packages": packages.oracle()}
