@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeforge.llm import licenses, packages, rolling_median
+from lakeforge.llm import conversations, licenses, packages, rolling_median
 from lakeforge.llm.contamination import find_contamination
 from lakeforge.llm.jaccard_join import near_duplicates
 from lakeforge.llm.language_id import identify
@@ -86,6 +86,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`conversations`, damaged, and the cheapest repair of each."""
+    return conversations.repair(conversations.damage(_read(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
 def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians and median deviations of the 360 minutes up to each click, by kind."""
     return rolling_median.rolling_medians(_read(spark, sf_dir, "clicks"))
