@@ -66,7 +66,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; a document that is left without words goes.
+    """Repeated passages are cut out of the texts; a document that is left without a letter or digit of any script goes.
 
     No copy is kept, not the first either: a passage that documents share is in none of them afterwards.
     """
@@ -75,7 +75,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = dedup_byte_strings(docs.withColumn(keep[-1], F.col("text").isNull()), length=SHORTEST, only_over=(PASSAGE_WORDS, PASSAGE_BYTES), keep=keep, suffix=suffix)
     cut = F.col(f"n_removed{suffix}") > 0
     out = out.withColumn("text", F.when(~F.col(keep[-1]), F.col(f"kept{suffix}").cast("string")))
-    out = out.where(~cut | F.col("text").rlike(r"\w"))
+    out = out.where(~cut | F.col("text").rlike(r"[\p{L}\p{N}]"))
     new = {"n_chars": F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
