@@ -4,11 +4,16 @@ Every function works on one flat byte array holding the texts of a block end
 to end, so its cost is a few numpy passes per byte, whatever the number of
 texts. A substring's fingerprint is read off a prefix polynomial modulo 2**64
 (random byte codes, odd base), then scrambled; equal strings get equal
-fingerprints wherever they stand. Two independent lanes make 128 bits.
+fingerprints wherever they stand. Modulo 2**64 the Thue-Morse word and its
+complement come close with any odd base: of 2**k letters, they cost a lane
+about k * k / 2 + k bits, in both lanes alike. So the polynomial is for short
+runs: strings of a fixed width, words of up to `LONG_WORD` bytes (5 steps, 19
+bits), windows of words. Longer words are hashed whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +26,8 @@ _CODES = [np.random.default_rng(1000 + lane).integers(1, 2**63, 256, dtype=np.ui
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _STEP, _KEPT = 1 << 18, 5 << 18
 
+#: Bytes of a word beyond which it is not left to the polynomial.
+LONG_WORD = 32
 #: The separators of a word, `[\x20\x09-\x0D]`.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,7 +137,12 @@ class Words:
         self.texts = texts
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return Prefix.of_bytes(self.texts.data, lane).of(self.start, self.end)
+        """A fingerprint a word. Long words by BLAKE2b: long strings of one kind defeat any odd base modulo 2**64."""
+        out = Prefix.of_bytes(self.texts.data, lane).of(self.start, self.end)
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD):
+            word = self.texts.data[self.start[k] : self.end[k]]
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=16).digest()[8 * lane : 8 * lane + 8], "little")
+        return out
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts.n), np.diff(self.off))

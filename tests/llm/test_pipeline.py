@@ -40,3 +40,19 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert stage(corpus_pipeline.drop_near_copies, copies) == said([(1, a), (None, b), (2, c + " x"), (2, d), (4, e), (6, f), (None, None), (8, None), (8, "")])
     dirty = [(None, item), (1, "z " + item), (1, a), (None, b), (2, c), (2, c), (None, None), (3, "")]
     assert stage(corpus_pipeline.drop_contaminated, dirty) == said([(1, a), (None, b), (2, c), (2, c), (None, None), (3, "")])
+
+
+def test_other_scripts_keep_what_is_not_repeated(spark):
+    rng = random.Random(8)
+    rows, passages = [], []
+    for first, last in ((0x430, 0x44F), (0x3B1, 0x3C9), (0x4E00, 0x4FFF), (0x61, 0x7A)):
+        word = lambda: "".join(chr(rng.randint(first, last)) for _ in range(5))  # noqa: B023, E731
+        passages.append(" ".join(word() for _ in range(60)))
+        for _ in range(2):
+            rows.append((len(rows), f"{' '.join(word() for _ in range(80))}\n{passages[-1]}\n{' '.join(word() for _ in range(80))}", 0))
+    rows.append((99, passages[0], 0))
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), "").collect()}
+    assert got.keys() == set(range(8))
+    for i, text in got.items():
+        before, after = rows[i][1].split(passages[i // 2])
+        assert text.startswith(before.strip()) and text.endswith(after.strip()) and len(text) <= len(before + after)
