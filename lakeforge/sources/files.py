@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import zipfile
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeforge.functions.cleaning import parse_date, parse_timestamp, row_hash
 
@@ -32,15 +34,37 @@ class Feed:
     active: bool = True
 
 
+#: Encodings, by Python's names, that Spark's reader knows, and that take more than a byte a sign or are Latin-1 itself.
+_WIDE = {"utf-8", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "ascii", "iso8859-1"}
+
+
 def active_feeds(feeds: list[Feed], system: str | None = None) -> list[Feed]:
     return sorted((f for f in feeds if f.active and system in (None, f.system)), key=lambda f: f.load_order)
 
 
+#: Holds a record that the reader could not parse, as it was read; null for others.
+CORRUPT = "_corrupt_record"
+
+
 def read_csv(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
-    """All columns as strings. Encodings beyond Spark's own list need its legacy charset switch."""
-    if feed.encoding.lower().startswith("windows"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.csv(paths, header=feed.header, sep=feed.delimiter, encoding=feed.encoding, inferSchema=False, mode="PERMISSIVE")
+    """All columns as strings, and `CORRUPT`: lines with more or fewer fields than the first file's header.
+
+    Single-byte encodings that Spark doesn't know, such as windows-1254, are read byte by byte as Latin-1, and the
+    fields' signs are then replaced: no session setting is needed, and files of several encodings may be read side by
+    side. What an encoding doesn't define becomes U+FFFD.
+    """
+    narrow = codecs.lookup(feed.encoding).name not in _WIDE
+    encoding = "ISO-8859-1" if narrow else feed.encoding
+    options = {"header": feed.header, "sep": feed.delimiter, "encoding": encoding, "inferSchema": False, "mode": "PERMISSIVE"}
+    names = spark.read.csv(paths, **options).columns
+    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField(CORRUPT, T.StringType())])
+    df = spark.read.schema(schema).csv(paths, columnNameOfCorruptRecord=CORRUPT, **options)
+    if not narrow:
+        return df
+    high = bytes(range(128, 256))
+    latin, meant = high.decode("latin-1"), high.decode(feed.encoding, "replace")
+    named = lambda n: n.translate(str.maketrans(latin, meant))
+    return df.select(*(F.translate(F.col(f"`{c}`"), latin, meant).alias(named(c)) for c in df.columns))
 
 
 def read_json(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:

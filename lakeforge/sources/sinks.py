@@ -1,19 +1,20 @@
-"""Sinks over Parquet folders: batches that replace themselves, upserts by hash, quarantine, overwrite by swap, compaction, run log.
+"""Sinks: batches that replace themselves, upserts by hash, quarantine, overwrite, compaction, run log.
 
-A folder that is read is never written in place: the new table is written beside it and takes its name when it is whole.
+Tables are versioned (`tables`); batches are folders of Parquet.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeforge.functions import cleaning as C
-from lakeforge.operators.keys import classify_changes, upsert
+from lakeforge.sources.files import CORRUPT
+from lakeforge.sources.tables import Table
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,50 +27,57 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Of a table that `merge_into` makes: an upsert rewrites those that it changes.
+BUCKETS = 16
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """All batches; columns that came later are null before."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return df.withColumn("_batch_id", F.col("_batch_id").cast("string")) if "_batch_id" in df.columns else df
+    """A versioned table's latest version, or all batches of a folder of batches; columns that came later are null before."""
+    held = Table(spark, path)
+    if held.exists():
+        return held.read()
+    return spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
 
 
-def replace_batch(df: DataFrame, path: str, batch_id: str) -> dict:
+def replace_batch(df: DataFrame, path: str, batch_id: str, rejected: str | None = None) -> dict:
     """Writes a batch in place of an earlier run of the same one, also where it has no rows now.
 
-    Rows are counted as they are written and again from the files: {"rows_read", "rows_written", "rows_rejected"}.
+    Rows are counted as they are read and again from the files: {"rows_read", "rows_written", "rows_rejected"}. Where
+    the reader kept records that it could not parse in `CORRUPT`, those rows are rejected: they go, as they were read,
+    to the folder `rejected`, by default the table's with `_rejected` after its name. An id may have any signs.
     """
     seen = Observation()
-    folder = f"{path}/_batch_id={batch_id}"
-    df.drop("_batch_id").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(folder)
-    read, written = seen.get["n"], df.sparkSession.read.parquet(folder).count()
-    return {"rows_read": read, "rows_written": written, "rows_rejected": read - written}
+    spark, folder = df.sparkSession, f"batch-{quote(batch_id, safe='')}"
+    corrupt = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
+    rows = df.withColumn("_batch_id", F.lit(batch_id)).observe(seen, F.count(F.lit(1)).alias("n"), F.count(corrupt).alias("bad"))
+    rows.where(corrupt.isNull()).drop(CORRUPT).write.mode("overwrite").parquet(f"{path}/{folder}")
+    read, bad = seen.get["n"], seen.get["bad"]
+    apart = f"{rejected or path.rstrip('/') + '_rejected'}/{folder}"
+    if bad or exists(spark, apart):  # an earlier run's rejects are replaced too
+        held = [c for c in df.columns if c.startswith("_") and c not in (CORRUPT, "_batch_id")]
+        df.where(corrupt.isNotNull()).select(corrupt.alias(CORRUPT), *held, F.lit(batch_id).alias("_batch_id")).write.mode("overwrite").parquet(apart)
+    written = spark.read.parquet(f"{path}/{folder}").count()
+    if read != written + bad:
+        raise OSError(f"{path}: {read} rows were read, {written} written and {bad} rejected")
+    return {"rows_read": read, "rows_written": written, "rows_rejected": bad}
 
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """The table becomes `df`, which may read it: written beside, then swapped."""
-    spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
-    df.write.partitionBy(*(partition_by or [])).parquet(new.toString())
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(new, target):
-        fs.rename(old, target)
-        raise OSError(f"cannot move to {path}")
-    fs.delete(old, True)
-
-
-def merge_into(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> dict:
-    """Upsert by key and row hash: {"created", "rows", "inserted", "updated"}. Unchanged batches write nothing."""
-    spark = df.sparkSession
-    if not exists(spark, path):
-        overwrite(df, path, partition_by)
-        n = spark.read.parquet(path).count()
-        return {"created": True, "rows": n, "inserted": n, "updated": 0}
-    target = spark.read.parquet(path)
-    n = dict(classify_changes(target, df, keys).groupBy("action").count().collect())
-    if n.get("insert") or n.get("update"):
-        overwrite(upsert(target, df, keys), path, partition_by)
-    return {"created": False, "rows": sum(n.values()), "inserted": n.get("insert", 0), "updated": n.get("update", 0)}
+    """The table becomes `df`, which may read it, as its next version: who reads meanwhile sees the one before."""
+    Table(df.sparkSession, path).overwrite(df, partition_by=partition_by)
+
+
+def merge_into(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None, order: str | None = None, buckets: int = BUCKETS) -> dict:
+    """Upsert by key and row hash: {"created", "rows", "inserted", "updated"}. Unchanged batches write nothing.
+
+    Of rows with one key the latest by `order` counts; without it they raise.
+    """
+    held = Table(df.sparkSession, path)
+    created = not held.exists()
+    if created:  # an empty table, so that the first batch is held to the same rules
+        held.overwrite(df.limit(0), keys, buckets, partition_by)
+    got = held.merge(df, order)
+    return {"created": created, "rows": table_metrics(df.sparkSession, path)["rows"], "inserted": got["inserted"], "updated": got["updated"]}
 
 
 def append_quarantine(bad: DataFrame, path: str, key: str, batch_id: str) -> int:
@@ -79,22 +87,15 @@ def append_quarantine(bad: DataFrame, path: str, key: str, batch_id: str) -> int
 
 
 def table_metrics(spark: SparkSession, path: str) -> dict:
-    """Files, bytes and rows of a table."""
-    fs, p = _fs(spark, path)
-    files = fs.listFiles(p, True)
-    n = size = 0
-    while files.hasNext():
-        f = files.next()
-        if f.getPath().getName().endswith(".parquet"):
-            n, size = n + 1, size + f.getLen()
-    return {"files": n, "bytes": size, "rows": spark.read.parquet(path).count()}
+    """Files, bytes and rows of a table's latest version, from its manifest; `Table.history` has those of all versions."""
+    files = Table(spark, path).snapshot().files
+    return {"files": len(files), "bytes": sum(f.n_bytes for f in files), "rows": sum(f.rows for f in files)}
 
 
-def compact(spark: SparkSession, path: str, key: str, file_bytes: int = 128 << 20) -> dict:
-    """Rewrites a table in files of about `file_bytes`, ordered by the key, so that scans by key skip files: metrics before and after."""
+def compact(spark: SparkSession, path: str, key: str | list[str], file_bytes: int = 128 << 20) -> dict:
+    """Rewrites a table in files of about `file_bytes`, clustered by one key or several, so that scans by any of them skip files: metrics before and after."""
     before = table_metrics(spark, path)
-    parts = max(1, -(-before["bytes"] // file_bytes))
-    overwrite(spark.read.parquet(path).repartitionByRange(parts, key).sortWithinPartitions(key), path)
+    Table(spark, path).cluster([key] if isinstance(key, str) else key, file_bytes)
     return {"before": before, "after": table_metrics(spark, path)}
 
 

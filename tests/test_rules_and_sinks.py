@@ -31,13 +31,17 @@ def test_upserts_swap_and_count(spark, tmp_path):
     assert sinks.merge_into(row((1, "a", "a"), (2, "b", "b")), path, ["k"]) == {"created": True, "rows": 2, "inserted": 2, "updated": 0}
     assert sinks.merge_into(row((1, "a", "a"), (2, "c", "c"), (3, "d", "d")), path, ["k"]) == {"created": False, "rows": 3, "inserted": 1, "updated": 1}
     assert sinks.merge_into(row((1, "a", "a")), path, ["k"]) == {"created": False, "rows": 3, "inserted": 0, "updated": 0}
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    sinks.overwrite(spark.read.parquet(path).where("k > 1"), path)
-    assert spark.read.parquet(path).count() == 2
+    assert {(r.k, r.v) for r in sinks.read_table(spark, path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    with pytest.raises(ValueError, match="1 keys are repeated"):
+        sinks.merge_into(row((4, "a", "a"), (4, "b", "b")), path, ["k"])
+    assert sinks.merge_into(row((4, "a", "a"), (4, "b", "b")), path, ["k"], order="v")["inserted"] == 1
+    sinks.overwrite(sinks.read_table(spark, path).where("k > 1"), path)
+    assert {(r.k, r.v) for r in sinks.read_table(spark, path).collect()} == {(2, "c"), (3, "d"), (4, "b")}
+    path = str(tmp_path / "u")
     sinks.overwrite(spark.range(1000).repartition(8), path)
     got = sinks.compact(spark, path, "id")
     assert got["before"]["files"] == 8 and got["after"]["files"] == 1 and got["before"]["rows"] == got["after"]["rows"] == 1000
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert {p.name for p in tmp_path.iterdir()} == {"t", "u"}
 
 
 def test_quarantine_adds_batches(spark, tmp_path):
