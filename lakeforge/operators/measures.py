@@ -47,6 +47,13 @@ def date_dimension(spark, start: str, end: str, holidays: DataFrame) -> DataFram
     )
 
 
+def with_unknown_date(dates: DataFrame) -> DataFrame:
+    """The calendar with its member -1, in month 0: facts whose date is not known or lies outside point to it."""
+    fixed = {"date": F.lit("1900-01-01"), "date_key": F.lit(-1), "ly_date_key": F.lit(None), "month_end": F.lit("1900-01-01")}
+    row = dates.sparkSession.range(1).select(*(fixed.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in dates.schema))
+    return dates.unionByName(row)
+
+
 def _share(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 

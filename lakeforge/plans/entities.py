@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeforge.functions import cleaning as C
 from lakeforge.operators import facts, measures, scd2, silver
+from lakeforge.operators.keys import stored
 from lakeforge.operators.measures import date_dimension
 from lakeforge.plans.feeds import FEEDS, duck, feed
 from lakeforge.plans.registry import query
@@ -164,35 +166,60 @@ def _with(select: str, prelude: list[tuple[str, str]] = CTES) -> str:
 
 # --- Spark -----------------------------------------------------------------------------------------
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def once(build):
+    """Entities, dimensions and facts are written once a session and folder, as tables; queries over them read those.
+
+    The feeds' files must not change meanwhile.
+    """
+
+    @functools.wraps(build)
+    def held(spark, d, *more):
+        key = (spark.sparkContext.applicationId, build.__name__, d, *more)
+        if key not in _BUILT:
+            _BUILT[key] = stored(build(spark, d, *more))
+        return _BUILT[key]
+
+    return held
+
 
 def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
     return feed(spark, d, f"raw_{name}")
 
 
+@once
 def _fx(spark, d):
     return silver.load(raw(spark, d, "fx"), silver.MASTERS["fx_rate"])
 
 
+@once
 def _vehicles(spark, d):
     return silver.load(raw(spark, d, "vehicle"), silver.MASTERS["vehicle"], SALT)
 
 
+@once
 def _contracts(spark, d):
     return silver.sales_contract(raw(spark, d, "contract"), _fx(spark, d), _vehicles(spark, d), raw(spark, d, "xref"), SALT)
 
 
+@once
 def _orders(spark, d):
     return silver.repair_order(raw(spark, d, "order"), raw(spark, d, "xref"), SALT)
 
 
+@once
 def _lines(spark, d):
     return silver.load(raw(spark, d, "line"), silver.LINE)
 
 
+@once
 def _purchases(spark, d):
     return silver.purchase_order_line(raw(spark, d, "purchase"), _fx(spark, d))
 
 
+@once
 def _coverage(spark, d):
     return silver.recall_coverage(raw(spark, d, "coverage"))
 
@@ -212,27 +239,38 @@ def _texts(*columns: str) -> dict:
     return {c: C.clean_string(F.col(c)) for c in columns}
 
 
+@once
 def _dealers(spark, d):
     return _versions(spark, d, "dealer", "dealer", "dealer_sk", _texts("dealer_name", "city") | {"monthly_capacity_hours": F.col("monthly_capacity_hours").try_cast("int")})
 
 
+@once
 def _dim_vehicle(spark, d):
     return _versions(spark, d, "vehicle", "vehicle", "vehicle_sk", _texts("model_trim_code", "status", "stock_dealer_code", "owner_customer_id") | {"dealer_cost_amount": C.parse_decimal(F.col("dealer_cost_try"), True)})
 
 
+@once
 def _models(spark, d):
     return _versions(spark, d, "model", "model_trim", "model_sk", _texts("model_name"))
 
 
+@once
 def _parts(spark, d):
     return _versions(spark, d, "part", "part", "part_sk", _texts("part_name"))
 
 
+@once
+def _employees(spark, d):
+    return _versions(spark, d, "employee", "employee", "employee_sk", _texts("role_code"))
+
+
+@once
 def _customers(spark, d):
     one = raw(spark, d, "xref").select("master_customer_id", F.lit("1990-01-01").cast("date").alias("valid_from"), F.lit("9999-12-31").cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
     return scd2.with_surrogate(one, ["master_customer_id"], "customer_sk")
 
 
+@once
 def _flags(spark, d):
     names = [f"_f_{n}" for n in facts.FLAGS]
     rows = scd2.junk_dimension([facts.contract_flags(_contracts(spark, d)), facts.order_flags(_orders(spark, d))], names)
@@ -240,21 +278,25 @@ def _flags(spark, d):
     return scd2.numbered_junk(rows, list(facts.FLAGS), "flag_sk", {"is_campaign": 0, "payment_type": "NA", "channel": "NA", "is_used_vehicle": 0, "is_warranty": 0, "has_trade_in": 0})
 
 
+@once
 def _suppliers(spark, d):
     s = silver.load(raw(spark, d, "supplier"), silver.MASTERS["supplier"]).withColumn("is_domestic", (F.col("country_code") == "TR").cast("int"))
     return scd2.with_surrogate(s, ["supplier_id"], "supplier_sk")
 
 
+@once
 def _sales(spark, d):
-    star = {"vehicle": _dim_vehicle(spark, d), "customer": _customers(spark, d), "dealer": _dealers(spark, d), "employee": _versions(spark, d, "employee", "employee", "employee_sk", _texts("role_code")), "model": _models(spark, d), "flag": _flags(spark, d)}
+    star = {"vehicle": _dim_vehicle(spark, d), "customer": _customers(spark, d), "dealer": _dealers(spark, d), "employee": _employees(spark, d), "model": _models(spark, d), "flag": _flags(spark, d)}
     return facts.vehicle_sale(_contracts(spark, d), star, CALENDAR)
 
 
+@once
 def _order_facts(spark, d):
-    star = {"vehicle": _dim_vehicle(spark, d), "customer": _customers(spark, d), "dealer": _dealers(spark, d), "employee": _versions(spark, d, "employee", "employee", "employee_sk", _texts("role_code")), "service_type": facts.service_types(spark), "flag": _flags(spark, d)}
+    star = {"vehicle": _dim_vehicle(spark, d), "customer": _customers(spark, d), "dealer": _dealers(spark, d), "employee": _employees(spark, d), "service_type": facts.service_types(spark), "flag": _flags(spark, d)}
     return facts.repair_order(_orders(spark, d), _lines(spark, d), star, CALENDAR)
 
 
+@once
 def _purchase_facts(spark, d):
     return facts.part_purchase(_purchases(spark, d), {"supplier": _suppliers(spark, d), "part": _parts(spark, d)}, CALENDAR)
 
@@ -263,6 +305,7 @@ def _stock(spark, d):
     return facts.inventory_daily(_vehicles(spark, d), _contracts(spark, d), {"vehicle": _dim_vehicle(spark, d), "dealer": _dealers(spark, d), "model": _models(spark, d)}, AS_OF)
 
 
+@once
 def _recalls(spark, d):
     star = {"vehicle": _dim_vehicle(spark, d), "model": _models(spark, d), "dealer": _dealers(spark, d)}
     return facts.recall_coverage(_coverage(spark, d), silver.load(raw(spark, d, "campaign"), silver.CAMPAIGN), _orders(spark, d), star, CALENDAR, AS_OF)
