@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import codecs
-import io
-import zipfile
-from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeforge.functions.cleaning import parse_date, parse_timestamp, row_hash
+from lakeforge.sources.workbooks import FILE, SHEET, read_workbooks
 
 
 @dataclass(frozen=True)
@@ -71,46 +67,12 @@ def read_json(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
     return spark.read.json(paths, multiLine=feed.format == "json")
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def workbook_rows(blob: bytes, sheet: str | None) -> list[list[str | None]]:
-    """Cells of one sheet as text, from the workbook's XML."""
-    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(blob)) as z:
-        shared = [("".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t"))) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        chosen = next(s for s in sheets if sheet in (None, s.get("name")))
-        root = ElementTree.fromstring(z.read("xl/" + links[chosen.get(rel)].removeprefix("/xl/")))
-        out = []
-        for row in root.iter(f"{{{_NS['m']}}}row"):
-            cells: list[str | None] = []
-            for c in row.findall("m:c", _NS):
-                letters = "".join(x for x in c.get("r", "") if x.isalpha())
-                place = 0
-                for x in letters:
-                    place = place * 26 + ord(x) - 64
-                cells += [None] * (place - 1 - len(cells))
-                text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if c.get("t") == "inlineStr" else c.findtext("m:v", None, _NS)
-                cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
-            out.append(cells)
-        return out
-
-
 def read_xlsx(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
-    """One sheet of each workbook, read where the file's partition is; the first workbook's header names the columns."""
-    files = spark.read.format("binaryFile").load(paths)
-    header = workbook_rows(files.select("content").first()[0], feed.sheet)[0]
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for blob in frame["content"]:
-                head, *body = workbook_rows(blob, feed.sheet)
-                table = pd.DataFrame([r + [None] * (len(head) - len(r)) for r in body], columns=head, dtype=object)
-                yield table.reindex(columns=header)
-
-    return files.select("content").mapInPandas(rows, ", ".join(f"`{c}` string" for c in header))
+    """One sheet of each workbook of the folders or files, streamed (`workbooks`), with each row's file."""
+    files = [r.path.replace("file:/", "file:///", 1) if r.path.startswith("file:/") and not r.path.startswith("file://") else r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(paths).select("path").collect()]
+    if not files:
+        raise FileNotFoundError(f"no workbook in {paths}")
+    return read_workbooks(spark, sorted(files), feed.sheet).drop(SHEET)
 
 
 READERS = {"csv": read_csv, "json": read_json, "jsonl": read_json, "xlsx": read_xlsx}
@@ -145,7 +107,7 @@ def read_feed(spark: SparkSession, feed: Feed, watermark: str | None = None) ->
 def with_audit(df: DataFrame, feed: Feed, batch_id: str) -> DataFrame:
     """Ingest time, system, file, batch, and a hash of the business columns."""
     business = [c for c in df.columns if not c.startswith("_")]
-    source = F.lit(feed.path) if feed.format == "xlsx" else F.col("_metadata.file_path")
+    source = F.col(FILE) if FILE in df.columns else F.col("_metadata.file_path")
     return df.withColumns({"_ingest_ts": F.current_timestamp(), "_source_system": F.lit(feed.system), "_source_file": source, "_batch_id": F.lit(batch_id), "_row_hash": row_hash(business)})
 
 
