@@ -22,7 +22,7 @@ def candidates(left: DataFrame, right: DataFrame, blocks: list[str], left_id: st
 
 
 def score(identity: tuple[Column, Column], phone, email, name, city, kind) -> Column:
-    """Points of a pair; each argument holds the two sides."""
+    """Points of a pair; each argument holds the two sides. The points, lengths and distances."""
     same = lambda p: F.coalesce((p[0] == p[1]) & (p[0] != ""), F.lit(False))
     last = [F.element_at(F.split(n, " "), -1) for n in name]
     by_name = F.when(same(name), 25).when((F.levenshtein(*name) <= 3) & (F.length(name[0]) > 8), 12).when((last[0] == last[1]) & (F.length(last[0]) >= 4), 8).otherwise(0)
@@ -119,6 +119,39 @@ def oversized_blocks(left: DataFrame, right: DataFrame, l: str, r: str, most: in
     return reduce(DataFrame.unionByName, parts)
 
 
+def bounded_candidates(left: DataFrame, right: DataFrame, blocks: list[str], left_id: str, right_id: str, sort_by: str, most: int = 10_000, window: int = 10) -> DataFrame:
+    """Distinct pairs that share a block, where a block of more than `most` pairs gives pairs of neighbours only.
+
+    Pairs of smaller blocks are complete. A larger one, such as the customers of one name in one city, is put in the
+    order of `sort_by`, both sides together, and rows at most `window` places apart are paired: pairs grow with the
+    rows and not with their square, whatever the block's size. Places are numbered over all tasks and joined by
+    stretches of `window` places, so no block is in one task. `oversized_blocks` reports which blocks these are.
+    """
+    parts = []
+    for b in blocks:
+        l, r = (x.where(F.coalesce(F.col(b), F.lit("")) != "").select(F.col(i).alias(n), F.col(b).alias("_b"), F.col(sort_by).alias("_s")) for x, i, n in ((left, left_id, "_l"), (right, right_id, "_r")))
+        size = lambda x, n: x.groupBy("_b").agg(F.count("*").alias(n))
+        large = size(l, "_n").join(size(r, "_m"), "_b").where(F.col("_n") * F.col("_m") > most).select("_b")
+        parts.append(l.join(large, "_b", "left_anti").join(r.drop("_s"), "_b").select("_l", "_r"))
+        both = l.join(large, "_b", "left_semi").withColumn("_side", F.lit(0)).unionByName(r.join(large, "_b", "left_semi").withColumn("_side", F.lit(1)), allowMissingColumns=True)
+        placed = with_surrogate(both, ["_b", "_s", "_side", "_l", "_r"], "_at")
+        stretch = F.expr(f"_at div {window}")
+        one = placed.where("_side = 0").select("_l", "_b", F.col("_at").alias("_p"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_w"))
+        two = placed.where("_side = 1").select("_r", "_b", F.col("_at").alias("_q"), stretch.alias("_w"))
+        parts.append(one.join(two, ["_b", "_w"]).where(F.abs(F.col("_p") - F.col("_q")) <= window).select("_l", "_r"))
+    return reduce(DataFrame.union, parts).distinct().select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+
+
+def ambiguous(scored: DataFrame, left_id: str, right_id: str, threshold: int = 55) -> DataFrame:
+    """Pairs of the best score of one of their ids, where another pair of it has that score too: who matches was decided by the smaller id alone."""
+    good = scored.where(F.col("score") >= threshold)
+    for i, n in ((left_id, "_l"), (right_id, "_r")):
+        top = good.groupBy(i, "score").agg(F.count("*").alias("_n")).groupBy(i).agg(F.max(F.struct("score", "_n")).alias("_top"))
+        good = good.join(top.select(i, F.col("_top.score").alias(f"{n}_best"), F.col("_top._n").alias(f"{n}_ties")), i)
+    tied = lambda n: (F.col(f"{n}_ties") > 1) & (F.col("score") == F.col(f"{n}_best"))
+    return good.where(tied("_l") | tied("_r")).select(*scored.columns)
+
+
 def publish(records: DataFrame, salt: str) -> DataFrame:
     """The records with personal values hashed and masked; the raw ones are gone."""
     masks = {"identity": C.mask_identity_no, "phone": C.mask_phone, "email": C.mask_email}

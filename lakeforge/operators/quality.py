@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeforge.functions import cleaning as C
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -62,6 +64,32 @@ def with_previous_rate(batches: DataFrame, batch: str, rate: str) -> DataFrame:
     return batches.withColumn(f"{rate}_before", F.lag(rate).over(Window.orderBy(batch)))
 
 
+def vin_by_places(df: DataFrame, keys: list[str], vin: str) -> DataFrame:
+    """Check digits by a row a place, joined with the values of signs and the weights of places: expected and actual digit, and whether they are equal.
+
+    A second way to `cleaning.vin_check_digit`, which is one expression. Numbers that haven't 17 signs with a value are
+    left out. Both tables are fixed and small: 33 signs, 17 places.
+    """
+    spark = df.sparkSession
+    signs = spark.createDataFrame([*zip(C.VIN_FROM, map(int, C.VIN_TO), strict=True), *((str(n), n) for n in range(10) if str(n) not in C.VIN_FROM)], "_sign string, _value int")
+    weights = spark.createDataFrame([*enumerate(C.VIN_WEIGHTS, 1)], "_place int, _weight int")
+    text = F.upper(F.trim(vin))
+    rows = df.where((F.length(text) == 17) & ~text.rlike("[IOQ]")).select(*keys, text.alias("_vin"), F.explode(F.sequence(F.lit(1), F.lit(17))).alias("_place"))
+    signed = rows.withColumn("_sign", F.expr("substring(_vin, _place, 1)")).join(F.broadcast(weights), "_place").join(F.broadcast(signs), "_sign")
+    left = signed.groupBy(*keys, "_vin").agg(F.sum(F.col("_value") * F.col("_weight")).alias("_sum"), F.count("*").alias("_n")).where("_n % 17 = 0")
+    left = left.withColumn("_left", F.expr("(_sum div (_n div 17)) % 11"))  # repeated rows count once
+    expected = F.when(F.col("_left") == 10, "X").otherwise(F.col("_left").cast("string"))
+    actual = F.substring("_vin", 9, 1)
+    return left.select(*keys, F.col("_vin").alias("vin"), actual.alias("actual_check_digit"), expected.alias("expected_check_digit"), (actual == expected).cast("int").alias("is_valid"))
+
+
+def vin_differences(df: DataFrame, keys: list[str], vin: str, valid: str) -> DataFrame:
+    """Rows whose flag `valid` is another than the check by places says, either way unknown included."""
+    other = vin_by_places(df, keys, vin).select(*keys, "expected_check_digit", F.col("is_valid").alias("_by_places"))
+    both = df.select(*keys, vin, valid).join(other, keys, "left")
+    return both.where(~F.col(valid).eqNullSafe(F.col("_by_places"))).select(*keys, F.col(vin).alias("vin"), F.col(valid).alias("stated"), F.col("_by_places").alias("by_places"), "expected_check_digit")
+
+
 def detection(injected: DataFrame, detected: DataFrame) -> DataFrame:
     """By rule: injected defects, those detected, recall, and detections without an injection. Both: rule_code, business_key."""
     both = injected.select("rule_code", "business_key", F.lit(True).alias("i")).distinct().join(detected.select("rule_code", "business_key", F.lit(True).alias("d")).distinct(), ["rule_code", "business_key"], "full_outer")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeforge.functions import cleaning as C
-from lakeforge.operators import facts, measures, scd2
+from lakeforge.operators import facts, matching, measures, quality, scd2
 from lakeforge.operators.keys import shared_folder
 from lakeforge.operators.model import Kept, Measure, Model, Relation, star
+from lakeforge.operators.visual_filters import context_of
 from lakeforge.plans import entities as E
+from lakeforge.plans.gold import _ONE_CALL
 from lakeforge.plans.registry import money, query, table
 from lakeforge.sources import loads, tables
 
@@ -201,3 +203,53 @@ def load_star(spark: SparkSession, d: str) -> DataFrame:
     load.run("b1")
     log = loads.latest(load.log.read()).where("status = 'SUCCEEDED'")
     return log.where(F.col("step_name").isin("dim_part", "fact_vehicle_sale", "fact_repair_order", "fact_repair_order_line", "fact_part_purchase", "agg_monthly_sales")).select(F.col("step_name").alias("step"), F.col("rows_written").alias("n_rows"))
+
+
+def _column(source: str, name: str) -> dict:
+    return {"Column": {"Expression": {"SourceRef": {"Source": source}}, "Property": name}}
+
+
+def _is(value: str) -> dict:
+    return {"Literal": {"Value": value}}
+
+
+def _filter(entity: str, *conditions: dict) -> dict:
+    return {"filter": {"From": [{"Name": "x", "Entity": entity}], "Where": [{"Condition": c} for c in conditions]}}
+
+
+#: The filters of a visual, as its JSON has them.
+VISUAL = [
+    _filter("Customer", {"In": {"Expressions": [_column("x", "c_mktsegment")], "Values": [[_is("'BUILDING'")], [_is("'MACHINERY'")]]}}),
+    _filter("Order", {"Not": {"Expression": {"In": {"Expressions": [_column("x", "o_orderstatus")], "Values": [[_is("'P'")]]}}}}, {"Comparison": {"ComparisonKind": 2, "Left": _column("x", "o_totalprice"), "Right": _is("50000D")}}),
+    _filter("Line", {"Between": {"Expression": _column("x", "l_quantity"), "LowerBound": _is("5L"), "UpperBound": _is("30L")}}),
+    _filter("Nation", {"Or": {"Left": {"Contains": {"Left": _column("x", "n_name"), "Right": _is("'A'")}}, "Right": {"StartsWith": {"Left": _column("x", "n_name"), "Right": _is("'nation_1'")}}}}),
+    {"name": "nobody filtered this", "type": "Advanced"},
+]
+
+
+@query("""SELECT r_name, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2)) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderstatus <> 'P' AND o_totalprice >= 50000 AND l_quantity BETWEEN 5 AND 30 AND (contains(lower(n_name), 'a') OR starts_with(lower(n_name), 'nation_1')) GROUP BY 1""")
+def visual_filters(spark: SparkSession, d: str) -> DataFrame:
+    """A visual's filter trees as the context of its measures."""
+    asked = {"n": Measure("Line", F.count(F.lit(1))), "amount": Measure("Line", F.sum("amount"))}
+    return _lines(spark, d).evaluate(asked, ["Region.r_name"], context_of(VISUAL))
+
+
+@query(f"""WITH v AS (SELECT p_partkey, upper(substr(md5(p_partkey::VARCHAR), 1, 17)) AS v FROM part), c AS (SELECT *, ({_ONE_CALL}) % 11 AS r FROM v), e AS (SELECT p_partkey, v, CASE WHEN r = 10 THEN 'X' ELSE r::VARCHAR END AS x FROM c)
+SELECT p_partkey, v AS vin, 1 - (x = substr(v, 9, 1))::INT AS stated, (x = substr(v, 9, 1))::INT AS by_places, x AS expected_check_digit FROM e WHERE p_partkey % 50 = 0""")
+def vin_differential(spark: SparkSession, d: str) -> DataFrame:
+    """Check digits by places against the flags of the expression, of which every fiftieth is turned around."""
+    v = table(spark, d, "part").select("p_partkey", F.upper(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 17)).alias("vin"))
+    flag = C.vin_check_digit_valid(F.col("vin"))
+    return quality.vin_differences(v.withColumn("flag", F.when(F.col("p_partkey") % 50 == 0, 1 - flag).otherwise(flag)), ["p_partkey"], "vin", "flag")
+
+
+@query("""WITH a AS (SELECT 'a' || c_custkey AS id, c_nationkey::VARCHAR AS b, c_name AS s FROM customer), z AS (SELECT 'b' || c_custkey AS id, c_nationkey::VARCHAR AS b, c_name AS s FROM customer WHERE c_acctbal > 0),
+big AS (SELECT b FROM (SELECT b, count(*) AS n FROM a GROUP BY 1) JOIN (SELECT b, count(*) AS m FROM z GROUP BY 1) USING (b) WHERE n * m > 400),
+p AS (SELECT *, row_number() OVER (ORDER BY b, s, side, id) AS at FROM (SELECT *, 0 AS side FROM a UNION ALL SELECT *, 1 FROM z) WHERE b IN (SELECT b FROM big))
+SELECT a.id AS a_id, z.id AS b_id FROM a JOIN z ON a.b = z.b WHERE a.b NOT IN (SELECT b FROM big) UNION SELECT x.id, y.id FROM p x JOIN p y ON x.b = y.b AND x.side = 0 AND y.side = 1 AND abs(x.at - y.at) <= 5""")
+def bounded_name_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs by nation: all of small blocks, neighbours by name of large ones."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("block"), F.col("c_name").alias("name"), "c_acctbal")
+    side = lambda df, p: df.select(F.concat(F.lit(p), F.col("c_custkey").cast("string")).alias(f"{p}_id"), "block", "name")
+    return matching.bounded_candidates(side(c, "a"), side(c.where("c_acctbal > 0"), "b"), ["block"], "a_id", "b_id", "name", most=400, window=5)
