@@ -8,10 +8,11 @@ import time
 
 from pyspark.sql import SparkSession
 
+from lakeforge.plans.entities import build_star
 from lakeforge.plans.queries import queries
 
-#: Left out: queries that differ from a timed one in their last step only.
-VARIANTS = {"rule_violations", "rule_scorecard", "quality_measures", "fact_data_quality", "quarantine_lines", "star_checks", "agg_monthly_targets", "warranty_cost", "workshop_utilisation", "sale_measures", "service_measures", "agg_monthly_sales", "silver_masters", "dashboard_sales", "dashboard_services"}
+#: Left out: queries that differ from a timed one in their last step only, and evaluate all 25 rules again.
+VARIANTS = {"rule_violations", "rule_scorecard", "quality_measures", "fact_data_quality", "quarantine_lines"}
 
 
 def main() -> None:
@@ -19,7 +20,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
+    began = time.perf_counter()
+    build_star(spark, folder)
+    times = {"star_build": round(time.perf_counter() - began, 3)}  # once a session; queries over the star read its tables
     for name, query in queries().items():
         if name in VARIANTS:
             continue

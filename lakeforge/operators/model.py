@@ -132,6 +132,27 @@ class Model:
             present.add(r.one)
         return out, reached
 
+    def secured(self, table: str, allowed: DataFrame) -> Model:
+        """The model as someone sees it who may see the rows of `table` that `allowed` has, by its column of the same name.
+
+        Every table from which a path leads there keeps the rows that lead to allowed ones; others stay whole, as
+        nothing in them belongs to a row of `table`. Two paths raise: it isn't clear then whose a row is.
+        """
+        [key] = allowed.columns
+        seen: dict[str, DataFrame] = {table: self.tables[table].join(allowed, key, "left_semi")}
+
+        def cut(name: str) -> DataFrame:
+            if name not in seen:
+                way = self.path(name, table)
+                if way is None:
+                    seen[name] = self.tables[name]
+                else:
+                    r = way[0]
+                    seen[name] = self.tables[name].join(cut(r.one).select(F.col(r.to).alias("_to")), F.col(r.key) == F.col("_to"), "left_semi")
+            return seen[name]
+
+        return Model({n: cut(n) for n in self.tables}, self.relations)
+
     def evaluate(self, measures: dict[str, Measure | Kept], groups: list[str], context: dict[str, str] | None = None) -> DataFrame:
         """One row a combination of groups in which some measure has rows; a measure without rows there is null.
 

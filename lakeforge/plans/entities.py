@@ -311,6 +311,12 @@ def _recalls(spark, d):
     return facts.recall_coverage(_coverage(spark, d), silver.load(raw(spark, d, "campaign"), silver.CAMPAIGN), _orders(spark, d), star, CALENDAR, AS_OF)
 
 
+def build_star(spark, d) -> None:
+    """Writes all entities, dimensions and facts that `once` keeps."""
+    for build in (_fx, _vehicles, _contracts, _orders, _lines, _purchases, _coverage, _dealers, _dim_vehicle, _models, _parts, _employees, _customers, _flags, _suppliers, _sales, _order_facts, _purchase_facts, _recalls):
+        build(spark, d)
+
+
 def _dates(spark):
     none = spark.createDataFrame([], "date date, full_day boolean")
     return date_dimension(spark, *CALENDAR, none)

@@ -253,3 +253,19 @@ def bounded_name_blocks(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("block"), F.col("c_name").alias("name"), "c_acctbal")
     side = lambda df, p: df.select(F.concat(F.lit(p), F.col("c_custkey").cast("string")).alias(f"{p}_id"), "block", "name")
     return matching.bounded_candidates(side(c, "a"), side(c.where("c_acctbal > 0"), "b"), ["block"], "a_id", "b_id", "name", most=400, window=5)
+
+
+@query("""WITH c AS (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' OR n_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT 'Customer' AS name, count(*) AS n_rows FROM c UNION ALL SELECT 'Order', count(*) FROM o UNION ALL SELECT 'Line', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Nation', count(*) FROM nation""")
+def row_security_over_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What a user sees of each table whose grants are a region and a nation's customers: orders and lines too, suppliers and nations whole."""
+    m = _lines(spark, d)
+    places = m.tables["Nation"].join(m.tables["Region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    customers = m.tables["Customer"].join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "r_name")
+    grants = spark.createDataFrame([("u1", "REGION", "EUROPE", True), ("u1", "KEY", "3", True), ("u1", "REGION", "ASIA", False), ("u2", "ALL", None, True)], "user string, scope string, value string, active boolean")
+    mine = m.secured("Customer", measures.visible(customers, grants, "u1", "n_nationkey", "r_name").select("c_custkey"))
+    out = None
+    for name in ("Customer", "Order", "Line", "Supplier", "Nation"):
+        one = mine.tables[name].agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out

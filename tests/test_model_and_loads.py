@@ -67,6 +67,13 @@ def test_what_is_ambiguous_or_unknown_raises(spark, model, amount):
         model.evaluate({"x": amount, "v": Measure("Visit", F.count("*")), "p": Measure("Customer", F.count("*"))}, ["Sale.v", "Visit.d"])
 
 
+def test_who_may_see_a_province_sees_what_lies_there(spark, model, amount):
+    mine = model.secured("Province", spark.createDataFrame([(1,)], "p int"))
+    assert {n: df.count() for n, df in mine.tables.items()} == {"Sale": 2, "Visit": 4, "Date": 5, "Customer": 1, "Province": 1}
+    assert rows(mine.evaluate({"x": amount}, [])) == [(101,)]
+    assert model.secured("Province", spark.createDataFrame([], "p int")).tables["Sale"].count() == 0
+
+
 def test_the_star_has_its_relationships():
     assert sum(r.active for r in STAR) == 33 and sum(not r.active for r in STAR) == 8
     m = Model({}, STAR)
