@@ -169,3 +169,44 @@ def evaluate_by(truth: DataFrame, predicted: DataFrame, on: list[str], by: str)
     """Recall of the true pairs by a column of the truth, such as the difficulty, and the pairs that were missed as a count."""
     hit = truth.join(predicted.select(*on, F.lit(1).alias("_hit")), on, "left")
     return hit.groupBy(by).agg(F.count("*").alias("pairs"), F.count("_hit").alias("found"), F.count_if(F.col("_hit").isNull()).alias("missed"), F.try_divide(F.count("_hit"), F.count("*")).alias("recall"))
+
+
+#: How each attribute of a customer survives. `left`: the left side's, a single record's own; `left_only`, `right_only`: that
+#: side's or none; `left_first`, `right_first`: the other side's where that one has none; `richer`: the richer text, left on
+#: ties; `newer`: of the side that changed later, right on ties, left where a time is missing; `later`: the larger.
+SURVIVORSHIP = {
+    "customer_type": "left", "identity_no": "left_first", "full_name": "richer", "email": "right_first", "phone": "newer", "city": "newer", "city_code": "left_only",
+    "address_line": "left_only", "lead_source": "right_only", "consent": "right_only", "customer_since": "left_only", "modified": "later",
+}
+
+
+def survive(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: dict[str, str] | None = None, modified: str = "modified", presence: tuple[str, str, str] = ("BOTH", "DMS_ONLY", "CRM_ONLY")) -> DataFrame:
+    """One record a customer, matched pairs and single records of both sides, each attribute by its rule.
+
+    `pairs`: both ids, match_score, each id once. Both sides hold their id, `modified` and the attributes that their
+    rules read. Returns the ids, match_score (0 for single records), the attributes and source_presence.
+    """
+    rules = SURVIVORSHIP if rules is None else rules
+    needs = {"l": [c for c, r in rules.items() if r != "right_only"], "r": [c for c, r in rules.items() if r != "left_only"]}
+    l, r = (x.select(i, *(F.col(c).alias(f"_{s}_{c}") for c in dict.fromkeys([*needs[s], modified]))) for x, i, s in ((left, left_id, "l"), (right, right_id, "r")))
+    both = l.join(pairs.select(left_id, right_id, "match_score"), left_id, "left").join(r, right_id, "full_outer")
+    in_l, in_r = F.col(left_id).isNotNull(), F.col(right_id).isNotNull()
+    newer_r = ~in_l | (in_r & F.coalesce(F.col(f"_r_{modified}") >= F.col(f"_l_{modified}"), F.lit(False)))
+
+    def value(c: str, rule: str) -> Column:
+        a, b = F.col(f"_l_{c}") if rule != "right_only" else None, F.col(f"_r_{c}") if rule != "left_only" else None
+        if rule in ("left_only", "right_only"):
+            return a if b is None else b
+        return {
+            "left": lambda: F.when(in_l, a).otherwise(b), "left_first": lambda: F.coalesce(a, b), "right_first": lambda: F.coalesce(b, a), "newer": lambda: F.when(newer_r, b).otherwise(a),
+            "richer": lambda: F.when(F.coalesce(richness(a) >= richness(b), b.isNull()), a).otherwise(b), "later": lambda: F.greatest(a, b),
+        }[rule]()
+
+    found = F.when(in_l & in_r, presence[0]).when(in_l, presence[1]).otherwise(presence[2])
+    return both.select(left_id, right_id, F.coalesce("match_score", F.lit(0)).alias("match_score"), *(value(c, r).alias(c) for c, r in rules.items()), found.alias("source_presence"))
+
+
+def misses(truth: DataFrame, predicted: DataFrame, on: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
+    """True pairs that were not found, beside what both sides say of them. `left` and `right` hold the ids in `on`, in that order."""
+    lost = truth.join(predicted.select(*on), on, "left_anti")
+    return lost.join(left, on[0], "left").join(right, on[1], "left")

@@ -132,3 +132,14 @@ def numbered_junk(dim: DataFrame, columns: list[str], sk: str, unknown: dict) ->
     out = with_surrogate(dim, columns, sk)
     row = out.sparkSession.range(1).select(*(F.lit(-1 if f.name == sk else unknown.get(f.name)).cast(f.dataType).alias(f.name) for f in out.schema))
     return out.unionByName(row)
+
+
+def with_inferred(dim: DataFrame, references: list[DataFrame], key: str, sk: str, status: str = "UNKNOWN") -> DataFrame:
+    """The dimension with members for keys that facts name and it lacks, under the next surrogate keys in the order of the keys.
+
+    To be called before the facts look their keys up: a member holds from the first day that names it, so every fact
+    that does so finds it. `references`: key, seen. Columns that the inferred members lack are null.
+    """
+    last = dim.agg(F.greatest(F.coalesce(F.max(sk), F.lit(0)), F.lit(0)).alias("_last"))
+    new = with_surrogate(inferred_members(references, dim, key, status), [key], sk).crossJoin(F.broadcast(last))  # one row
+    return dim.unionByName(new.withColumn(sk, F.col(sk) + F.col("_last")).drop("_last"), allowMissingColumns=True)

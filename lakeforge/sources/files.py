@@ -114,3 +114,11 @@ def with_audit(df: DataFrame, feed: Feed, batch_id: str) -> DataFrame:
 def new_watermark(old: str | None, new: str | None) -> str | None:
     """Moves forward only."""
     return new if new and (not old or new > old) else old
+
+
+def read_answer_key(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
+    """An answer key as delimited text with a header, every column as text. Rows without one of `ids` are no answer."""
+    rows = spark.read.option("header", True).csv(path)
+    for c in ids:
+        rows = rows.where(F.coalesce(F.trim(F.col(c)), F.lit("")) != "")
+    return rows
