@@ -160,7 +160,7 @@ def customer_golden(spark: SparkSession, d: str) -> DataFrame:
     return out.select("master_id", "a_id", "b_id", "name", "email", "phone", "modified", "source_presence")
 
 
-@query(f"""WITH {_SIDES}, t AS (SELECT count(*) AS n FROM b), f AS (SELECT count(*) AS n FROM m) SELECT f.n AS tp, 0::BIGINT AS fp, t.n - f.n AS fn, round(f.n / t.n, 6) AS recall FROM t, f""")
+@query(f"""WITH {_SIDES}, t AS (SELECT count(*) AS n FROM b), f AS (SELECT count(*) FILTER (a_id = b_id) AS n, count(*) FILTER (a_id <> b_id) AS wrong FROM m) SELECT f.n AS tp, f.wrong AS fp, t.n - f.n AS fn, round(f.n / t.n, 6) AS recall FROM t, f""")
 def matching_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Precision and recall of the matches against the true pairs."""
     a, b = _sides(spark, d)

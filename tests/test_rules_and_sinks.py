@@ -79,3 +79,21 @@ def test_large_blocks_are_reported(spark):
     assert matching.blocked(a, b, "a", "b").count() == 25 and {r.a_name for r in a.collect()} == {f"P{i} X" for i in range(5)}
     truth = spark.createDataFrame([(1, 1, "EASY"), (2, 2, "HARD")], "a int, b int, kind string")
     assert {(r.kind, r.missed) for r in matching.evaluate_by(truth, truth.where("a = 1").select("a", "b"), ["a", "b"], "kind").collect()} == {("EASY", 0), ("HARD", 1)}
+
+
+def test_quarantine_meets_keys_part_by_part(spark):
+    t = spark.createDataFrame([("a#b", "c", -1.0), ("a", "b#c", 1.0), (None, "1", -1.0), ("1", None, 1.0), ("1", "1", 5.0)], "repair_order_no string, line_no string, labour_hours double")
+    rule = rules.RuleSpec("NEGATIVE", "repair_order_line", "critical", "where", {"predicate": "labour_hours < 0", "shown": ["labour_hours"]})
+    _, found = rules.evaluate({"repair_order_line": t}, [rule], "b")
+    kept, bad = rules.quarantine(t, "repair_order_line", found)
+    assert {(r.repair_order_no, r.line_no) for r in bad.collect()} == {("a#b", "c"), (None, "1")}
+    assert kept.count() == 3
+
+
+def test_rules_of_rows_read_their_target_once(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    spark.range(10).selectExpr("cast(id as string) repair_order_no", "1 line_no", "id - 5.0 labour_hours").write.parquet(path)
+    specs = {i: rules.RuleSpec(f"R{i}", "repair_order_line", "warning", "where", {"predicate": f"labour_hours > {i}", "shown": ["labour_hours"]}) for i in range(4)}
+    scan = rules._row_rules(specs, spark.read.parquet(path))
+    assert scan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r._rule, r.business_key) for r in scan.collect()) == sorted((i, f"{k}#1") for i in range(4) for k in range(10) if k - 5 > i)
