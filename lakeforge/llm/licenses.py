@@ -3,7 +3,8 @@
 A text is cut into fragments at marks and line ends, which are normalised (lower case,
 letters and digits, single spaces). A known sentence stands in a text where fragments in
 a row make it up, be it one or many: sentences hold marks (`; without`, `v. 2.0`) and
-wrapped lines, with comment marks or without. A rule is an ordered list of identifiers; it
+wrapped lines, with comment marks or without. Names of projects and organisations fill slots
+of known sentences, and a title stands before a line of copyright. A rule is an ordered list of identifiers; it
 holds where the text's sentences have that list in a row (fragments that are no part of a
 known sentence may stand between). Built-in functions on one row at a time: no shuffle, no
 Python on the executors.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ SENTENCES = {
     "apache2.spdx": "spdx license identifier apache 2 0",
     "mit.notice": "released under the mit license",
     "mit.licensed": "licensed under the mit license",
-    "mit.title": "the mit license",
+    "mit.title": "mit license copyright",
     "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit.keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit.as_is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
@@ -48,8 +49,28 @@ SENTENCES = {
     "ccbysa.notice": "licensed under cc by sa 4 0",
     "ccby.work": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc0.notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "mit.project": "this project is licensed under the mit license see the license file for details",
+    "mit.project_short": "this project is licensed under the mit license",
+    "gpl2only.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl21.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl.see": "see the gnu lesser general public license for more details",
+    "agpl3.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl.see": "see the gnu affero general public license for more details",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc.as_is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "epl2.terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "epl2.at": "https www eclipse org legal epl 2 0",
     "mpl2.notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+# Identifiers of the SPDX list that are looked for behind its tag, beside the three above.
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BlueOak-1.0.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "UPL-1.0", "WTFPL", "Zlib",
+)
+_TAG = "spdx license identifier"
+SENTENCES |= {f"spdx.{i.lower()}": f"{_TAG} {' '.join(re.findall(r'[a-z0-9]+', i.lower()))}" for i in SPDX}
 # Rules, each a licence and its sentence identifiers in order.
 RULES = {
     "apache-2.0.header": ("Apache-2.0", ["apache2.header", "apache2.copy", "apache2.as_is", "apache2.see"]),
@@ -71,15 +92,45 @@ RULES = {
     "cc-by-sa-4.0.notice": ("CC-BY-SA-4.0", ["ccbysa.notice"]),
     "cc0-1.0.notice": ("CC0-1.0", ["cc0.notice"]),
     "mpl-2.0.notice": ("MPL-2.0", ["mpl2.notice"]),
+    "mit.project": ("MIT", ["mit.project"]),
+    "mit.project_short": ("MIT", ["mit.project_short"]),
+    "mit.title": ("MIT", ["mit.title"]),
+    "gpl-2.0-only.header": ("GPL-2.0-only", ["gpl2only.free", "gpl.hope", "gpl.see"]),
+    "lgpl-2.1.header": ("LGPL-2.1", ["lgpl21.free", "gpl.hope", "lgpl.see"]),
+    "lgpl-3.0.header": ("LGPL-3.0", ["lgpl3.free", "gpl.hope", "lgpl.see"]),
+    "agpl-3.0.header": ("AGPL-3.0", ["agpl3.free", "gpl.hope", "agpl.see"]),
+    "isc.text": ("ISC", ["isc.grant", "isc.as_is"]),
+    "epl-2.0.notice": ("EPL-2.0", ["epl2.terms", "epl2.at"]),
 }
+RULES |= {f"spdx.{i.lower()}": (i, [f"spdx.{i.lower()}"]) for i in SPDX}
+_W = r"[^\p{L}\p{N}]+"
+_WORD = r"[\p{L}\p{N}]{1,40}(?:[_.-][\p{L}\p{N}]{1,40}){0,5}\+{0,2}"
+_NAME = rf"{_WORD}(?:[ \t]+{_WORD}){{0,4}}?[ \t]+is"
+#: Slots: (words that a text needs for it, pattern, what it becomes). A name, an organisation or a project stands where the known sentence has its usual words; one of a project has up to five words, of parts of up to 40 letters, one of an organisation up to 120 characters.
+SLOTS = (
+    (("neither", "contributors"), _W.join(["neither", "the", "names?", "of", "(?s:.{1,120}?)", "nor", "the", "names", "of", f"(?:its|their|other|any{_W}other)", "contributors"]), "neither the name of the copyright holder nor the names of its contributors"),
+    (("neither", "contributors"), _W.join(["neither", "the", "names?", "of", "(?s:.{1,120}?)", "nor", "its", "contributors"]), "neither the name of the copyright holder nor the names of its contributors"),
+    (("software", "redistribute"), _W.join([_NAME, "free", "software", "you", "can", "redistribute"]), "this program is free software you can redistribute"),
+    (("see", "license", "file"), _W.join(["see", "the", rf"license(?:{_W}(?:license|md|txt))*", "file"]), "see the license file"),
+    (("mit", "license", "copyright"), rf"(?:^|[\r\n])[^\p{{L}}\p{{N}}\r\n]*(?:the{_W})?mit{_W}license(?:[^\p{{L}}\p{{N}}\r\n]*[\r\n][^\p{{L}}\p{{N}}]*|[ \t]+)copyright[^\r\n]*", "\nmit license copyright"),
+    (("distributed", "hope"), _W.join([_NAME, "distributed", "in", "the", "hope"]), "this program is distributed in the hope"),
+)
 _BREAK, _SOFT = "\u0001", "\u0002"
 _FAR = 2**31 - 1
 _END = r"[.!?;:]+(?:\s+|$)|[\r\n]+"
 
 
+def _filled(text: Column) -> Column:
+    """The text in lower case, null as empty, with what stands in a slot replaced by the known sentence's words."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for needs, pattern, words in SLOTS:
+        out = F.when(reduce(and_, (F.contains(out, F.lit(w)) for w in needs)), F.regexp_replace(out, pattern, words)).otherwise(out)
+    return out
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at `.!?;:` before space or at line ends; only letters and digits count."""
-    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _END, _BREAK)
+    """Normalised sentences, slots filled: cut at `.!?;:` before space or at line ends; only letters and digits count."""
+    cut = F.regexp_replace(_filled(text), _END, _BREAK)
     return F.transform(F.split(F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}{_BREAK}]+", " "), _BREAK), lambda s: F.trim(s))
 
 
@@ -102,8 +153,10 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = F.create_map(*(F.lit(x) for kv in by_text.items() for x in kv))
     listed = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.array(*map(F.lit, ids)).alias("ids"), F.lit(len(ids)).alias("n_sentences")) for name, (lic, ids) in rules.items()))
     # Only texts whose words hold a known sentence's, whatever stands between them, go on.
-    least = [k for k in by_text if not any(o != k and o in k for o in by_text)]
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    short = {_TAG if k.startswith(_TAG) else k for k in by_text}
+    least = sorted(k for k in short if not any(o != k and o in k for o in short))
+    df = df.select(F.col(id_col), _filled(F.col(text_col)).alias(text_col))
+    plain = F.regexp_replace(F.col(text_col), r"[^\p{L}\p{N}]+", " ")
     some = df.where(F.exists(F.array(plain), lambda p: reduce(or_, (F.contains(p, F.lit(k)) for k in least))))
     held = some.select(F.col(id_col).alias("id"), F.explode(F.transform(F.array(_hits(_pieces(F.col(text_col), known, rules), table, by_text)), _with_next)).alias("hits"))
     held = held.select("id", "hits", F.explode(F.filter(listed, lambda r: F.size(F.array_except(r["ids"], F.col("hits")["id"])) == 0)).alias("r"))
@@ -112,8 +165,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _pieces(text: Column, known: dict[str, str], rules: dict[str, tuple[str, list[str]]]) -> Column:
-    """(at, s): fragments with their numbers, without empty ones, also cut where a rule's next sentence follows."""
-    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _END, _BREAK)
+    """(at, s): fragments of a text with filled slots, with their numbers, without empty ones, also cut where a rule's next sentence follows."""
+    cut = F.regexp_replace(text, _END, _BREAK)
     cut = F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}{_BREAK}]+", " ")
     loose = lambda sid: f"[ {_BREAK}]+".join(map(re.escape, known[sid].split()))
     for a, b in sorted({p for _, ids in rules.values() for p in zip(ids, ids[1:]) if p[0] in known and p[1] in known}):
@@ -161,13 +214,16 @@ def oracle() -> str:
     """DuckDB SQL for `scan_licenses(documents)`."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(k)}, {q(v)})" for k, v in SENTENCES.items())
+    filled = "lower(coalesce(text, ''))"
+    for _, pattern, words in SLOTS:
+        filled = f"regexp_replace({filled}, {q(pattern)}, {q(words)}, 'g')"
     rules = ", ".join(f"({q(n)}, {q(lic)}, {q('|' + '|'.join(ids) + '|')}, {len(ids)})" for n, (lic, ids) in RULES.items())
     return f"""
 WITH known(sid, s) AS (VALUES {known}),
 rules(rule, license, ids, n_sentences) AS (VALUES {rules}),
 cut AS (
   SELECT row_number() OVER () AS r, doc_id,
-         string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(?:[\\s\\v]+|$)|[\\r\\n]+', chr(1), 'g'),
+         string_split(regexp_replace(regexp_replace({filled}, '[.!?;:]+(?:[\\s\\v]+|$)|[\\r\\n]+', chr(1), 'g'),
                                      '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g'), chr(1)) AS parts
   FROM documents),
 sentence AS (SELECT r, doc_id, generate_subscripts(parts, 1) - 1 AS place, trim(unnest(parts)) AS s FROM cut),

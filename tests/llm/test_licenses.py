@@ -4,7 +4,7 @@ import random
 import re
 import textwrap
 
-from lakeforge.llm.licenses import RULES, scan_licenses
+from lakeforge.llm.licenses import RULES, SPDX, scan_licenses, sentences
 
 APACHE = [
     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -44,6 +44,17 @@ CANONICAL = {
     "cc-by-nc-4.0.notice": ["Licensed under CC BY-NC 4.0."],
     "cc-by-sa-4.0.notice": ["Licensed under CC BY-SA 4.0."],
     "cc0-1.0.notice": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "mit.project": ["This project is licensed under the MIT License - see the LICENSE file for details."],
+    "mit.project_short": ["This project is licensed under the MIT License."],
+    "mit.title": ["The MIT License", "Copyright (c) Foo"],
+    "gpl-2.0-only.header": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", HOPE],
+    **{n: [GPL3[0].replace("General", f"{kind} General").replace("version 3", f"version {v}"), HOPE.replace("GNU", f"GNU {kind}")] for n, kind, v in (("lgpl-2.1.header", "Lesser", "2.1"), ("lgpl-3.0.header", "Lesser", "3"), ("agpl-3.0.header", "Affero", "3"))},
+    "isc.text": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    ],
+    "epl-2.0.notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "https://www.eclipse.org/legal/epl-2.0/"],
+    **{f"spdx.{i.lower()}": [f"SPDX-License-Identifier: {i}"] for i in SPDX},
     "mpl-2.0.notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
@@ -64,6 +75,7 @@ def test_each_rule_holds_in_its_canonical_text(spark):
     assert not missing
     # and nothing but the shorter rules that are part of it
     part = {"bsd-3-clause.text": {"bsd-2-clause.text"}, "apache-2.0.header": {"apache-2.0.notice"}}
+    part |= {n: {"mit.licensed", "mit.project_short"} for n in ("mit.licensed", "mit.notice", "mit.project", "mit.project_short")}
     assert all(r == names[i] or r in part.get(names[i], ()) for i, r in got)
 
 
@@ -99,3 +111,36 @@ def test_rules_against_brute_force(spark):
                 want.add((i, name, frag[min(f for f, _ in chains)]))
     got = scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), known=known, rules=rules).collect()
     assert len(got) == len(want) and {(r.doc_id, r.rule, r.first_sentence) for r in got} == want
+
+
+def test_names_fill_slots(spark):
+    free = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    hope = HOPE.replace("This program", "{}")
+    bsd = "\n".join(BSD2) + "\n3. Neither the name of {} may be used to endorse or promote products derived from this software without specific prior written permission."
+    forms = {
+        (free + "\n\n" + hope).format("Foo", "Foo"): {"gpl-3.0.header"},
+        textwrap.indent(textwrap.fill((free + " " + hope).format("The Foo++ tool set", "Foo"), 70), " * "): {"gpl-3.0.header"},
+        free.format("Foo"): set(),
+        bsd.format("Foo, Inc. nor the names of its contributors"): {"bsd-2-clause.text", "bsd-3-clause.text"},
+        bsd.format("the University of X\nnor the\n   names of any other contributors"): {"bsd-2-clause.text", "bsd-3-clause.text"},
+        bsd.format("the copyright holder nor its contributors"): {"bsd-2-clause.text", "bsd-3-clause.text"},
+        bsd.format("x" * 121 + " nor the names of its contributors"): {"bsd-2-clause.text"},
+        "/* SPDX-License-Identifier: GPL-2.0-only */": {"spdx.gpl-2.0-only"},
+        "# SPDX-License-Identifier: GPL-3.0-only\nimport x": {"spdx.gpl-3.0-only"},
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": set(),
+        "MIT License\n\nCopyright (c) 2020 Foo": {"mit.title"},
+        "This project is licensed under the MIT License - see the [LICENSE](LICENSE.md) file for details": {"mit.project"},
+        "Neither the name of the game nor its contributors matter. Foo is free software.": set(),
+    }
+    rows = list(enumerate(forms))
+    got = {i: set() for i, _ in rows}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        got[r.doc_id].add(r.rule)
+    assert got == dict(enumerate(forms.values()))
+
+
+def test_slots_and_sentences_are_numbered_alike(spark):
+    text = "One. Two.\nNeither the name of A. B. Inc. nor the names of its\ncontributors.\nMIT License\n\nCopyright 2020 X"
+    row = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    hit = scan_licenses(row).first()
+    assert row.select(sentences(row.text).alias("s")).first().s[hit.first_sentence] == "mit license copyright"
