@@ -104,9 +104,9 @@ RULES = {
 }
 RULES |= {f"spdx.{i.lower()}": (i, [f"spdx.{i.lower()}"]) for i in SPDX}
 _W = r"[^\p{L}\p{N}]+"
-_WORD = r"[\p{L}\p{N}]{1,40}(?:[_.-][\p{L}\p{N}]{1,40}){0,5}\+{0,2}"
+_WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}_.-]{0,38}[\p{L}\p{N}])?\+{0,2}"
 _NAME = rf"{_WORD}(?:[ \t]+{_WORD}){{0,4}}?[ \t]+is"
-#: Slots: (words that a text needs for it, pattern, what it becomes). A name, an organisation or a project stands where the known sentence has its usual words; one of a project has up to five words, of parts of up to 40 letters, one of an organisation up to 120 characters.
+#: Slots: (words that a text needs for it, pattern, what it becomes). A name, an organisation or a project stands where the known sentence has its usual words; one of a project has up to five words of up to 40 letters, one of an organisation up to 120 characters.
 SLOTS = (
     (("neither", "contributors"), _W.join(["neither", "the", "names?", "of", "(?s:.{1,120}?)", "nor", "the", "names", "of", f"(?:its|their|other|any{_W}other)", "contributors"]), "neither the name of the copyright holder nor the names of its contributors"),
     (("neither", "contributors"), _W.join(["neither", "the", "names?", "of", "(?s:.{1,120}?)", "nor", "its", "contributors"]), "neither the name of the copyright holder nor the names of its contributors"),
@@ -214,18 +214,21 @@ def oracle() -> str:
     """DuckDB SQL for `scan_licenses(documents)`."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(k)}, {q(v)})" for k, v in SENTENCES.items())
-    filled = "lower(coalesce(text, ''))"
-    for _, pattern, words in SLOTS:
-        filled = f"regexp_replace({filled}, {q(pattern)}, {q(words)}, 'g')"
+    steps, last = "filled0 AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)", "filled0"
+    for i, (needs, pattern, words) in enumerate(SLOTS, 1):
+        held = " AND ".join(f"contains(t, {q(w)})" for w in needs)
+        steps += f",\nfilled{i} AS (SELECT doc_id, CASE WHEN {held} THEN regexp_replace(t, {q(pattern)}, {q(words)}, 'g') ELSE t END AS t FROM {last})"
+        last = f"filled{i}"
     rules = ", ".join(f"({q(n)}, {q(lic)}, {q('|' + '|'.join(ids) + '|')}, {len(ids)})" for n, (lic, ids) in RULES.items())
     return f"""
 WITH known(sid, s) AS (VALUES {known}),
 rules(rule, license, ids, n_sentences) AS (VALUES {rules}),
+{steps},
 cut AS (
   SELECT row_number() OVER () AS r, doc_id,
-         string_split(regexp_replace(regexp_replace({filled}, '[.!?;:]+(?:[\\s\\v]+|$)|[\\r\\n]+', chr(1), 'g'),
+         string_split(regexp_replace(regexp_replace(t, '[.!?;:]+(?:[\\s\\v]+|$)|[\\r\\n]+', chr(1), 'g'),
                                      '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g'), chr(1)) AS parts
-  FROM documents),
+  FROM {last}),
 sentence AS (SELECT r, doc_id, generate_subscripts(parts, 1) - 1 AS place, trim(unnest(parts)) AS s FROM cut),
 seq AS (
   SELECT r, any_value(doc_id) AS doc_id, list(place ORDER BY place) AS places, '|' || string_agg(sid, '|' ORDER BY place) || '|' AS ids
