@@ -6,7 +6,8 @@ a row make it up, be it one or many: sentences hold marks (`; without`, `v. 2.0`
 wrapped lines, with comment marks or without. Names of projects and organisations fill slots
 of known sentences, and a title stands before a line of copyright. A rule is an ordered list of identifiers; it
 holds where the text's sentences have that list in a row (fragments that are no part of a
-known sentence may stand between). Built-in functions on one row at a time: no shuffle, no
+known sentence may stand between) and don't go on as a longer rule with that beginning: three
+clauses aren't two. Built-in functions on one row at a time: no shuffle, no
 Python on the executors.
 """
 
@@ -142,7 +143,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last one's end, and no known sentence may stand between. first_sentence is the number of the fragment, as
     `sentences` numbers them, at which the rule's first sentence starts.
 
-    Every rule that holds is returned, once a text, also one that is part of a longer one. A null or empty text has
+    Every rule that holds is returned, once a text. Where a rule's list goes on to that of a longer rule which begins
+    with it, the longer one holds there and the shorter one doesn't (it may elsewhere in the text). A null or empty text has
     no sentence. One set of rows per input row, whatever its id; other columns don't take part; an empty table, or
     no rules, gives no rows.
     """
@@ -151,7 +153,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not by_text or not rules:
         return df.select(id_col, F.lit("").alias("rule"), F.lit("").alias("license"), F.lit(0).alias("first_sentence"), F.lit(0).alias("n_sentences")).where("false")
     table = F.create_map(*(F.lit(x) for kv in by_text.items() for x in kv))
-    listed = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.array(*map(F.lit, ids)).alias("ids"), F.lit(len(ids)).alias("n_sentences")) for name, (lic, ids) in rules.items()))
+    texts = lambda ids: F.array(*map(F.lit, ids)).cast("array<string>")
+    rests = lambda ids: F.array(*map(texts, _rests(ids, rules))).cast("array<array<string>>")
+    listed = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), texts(ids).alias("ids"), rests(ids).alias("rests"), F.lit(len(ids)).alias("n_sentences")) for name, (lic, ids) in rules.items()))
     # Only texts whose words hold a known sentence's, whatever stands between them, go on.
     short = {_TAG if k.startswith(_TAG) else k for k in by_text}
     least = sorted(k for k in short if not any(o != k and o in k for o in short))
@@ -160,7 +164,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = df.where(F.exists(F.array(plain), lambda p: reduce(or_, (F.contains(p, F.lit(k)) for k in least))))
     held = some.select(F.col(id_col).alias("id"), F.explode(F.transform(F.array(_hits(_pieces(F.col(text_col), known, rules), table, by_text)), _with_next)).alias("hits"))
     held = held.select("id", "hits", F.explode(F.filter(listed, lambda r: F.size(F.array_except(r["ids"], F.col("hits")["id"])) == 0)).alias("r"))
-    held = held.select("id", "r.rule", "r.license", F.array_min(_chains(F.col("hits"), F.col("r.ids"))["at"]).alias("first_sentence"), "r.n_sentences")
+    held = held.select("id", "r.rule", "r.license", F.array_min(_ended(F.col("hits"), _chains(F.col("hits"), F.col("r.ids")), F.col("r.rests"))["at"]).alias("first_sentence"), "r.n_sentences")
     return held.where("first_sentence is not null").withColumnRenamed("id", id_col)
 
 
@@ -196,8 +200,18 @@ def _with_next(hits: Column) -> Column:
     return F.transform(hits, lambda y: F.struct(y["lo"].alias("lo"), y["hi"].alias("hi"), y["at"].alias("at"), y["id"].alias("id"), F.coalesce(ends(y), F.lit(_FAR)).alias("next")))
 
 
-def _chains(hits: Column, ids: Column) -> Column:
-    """Rows of hits with these ids, by last hit: (at of the first hit, where a next hit may start)."""
+def _rests(ids: list[str], rules: dict[str, tuple[str, list[str]]]) -> list[list[str]]:
+    """What the longer rules that begin with these ids have after them."""
+    return sorted({tuple(other[len(ids) :]) for _, other in rules.values() if len(other) > len(ids) and other[: len(ids)] == ids})
+
+
+def _ended(hits: Column, chains: Column, rests: Column) -> Column:
+    """Rows of hits that don't go on with any of the rests."""
+    return F.filter(chains, lambda c: ~F.exists(rests, lambda rest: F.size(_chains(hits, rest, F.array(c))) > 0))
+
+
+def _chains(hits: Column, ids: Column, after: Column | None = None) -> Column:
+    """Rows of hits with these ids, by last hit: (at of the first hit, where a next hit may start). They begin anywhere, or go on from the rows `after`."""
 
     def step(chains: Column, sid: Column) -> Column:
         def longer(y: Column) -> Column:
@@ -206,7 +220,8 @@ def _chains(hits: Column, ids: Column) -> Column:
 
         return F.filter(F.transform(F.filter(hits, lambda y: y["id"] == sid), longer), lambda x: x["at"].isNotNull())
 
-    start = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("least"), F.lit(_FAR).alias("most"))).cast("array<struct<at:int,least:int,most:int>>")
+    anywhere = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("least"), F.lit(_FAR).alias("most")))
+    start = (anywhere if after is None else after).cast("array<struct<at:int,least:int,most:int>>")
     return F.aggregate(ids, start, step)
 
 
@@ -219,10 +234,16 @@ def oracle() -> str:
         held = " AND ".join(f"contains(t, {q(w)})" for w in needs)
         steps += f",\nfilled{i} AS (SELECT doc_id, CASE WHEN {held} THEN regexp_replace(t, {q(pattern)}, {q(words)}, 'g') ELSE t END AS t FROM {last})"
         last = f"filled{i}"
-    rules = ", ".join(f"({q(n)}, {q(lic)}, {q('|' + '|'.join(ids) + '|')}, {len(ids)})" for n, (lic, ids) in RULES.items())
+    listed = lambda ids: "".join(f"|{i}|" for i in ids)
+    rules = ", ".join(f"({q(n)}, {q(lic)}, {q(listed(ids))}, {len(ids)})" for n, (lic, ids) in RULES.items())
+    # where a rule's last sentence is followed by the rest of a longer rule, it is marked and stands for no rule's end
+    ends = "ids"
+    longer = {(i, ids[-1], tuple(r)) for i, ids in ((n, ids) for n, (_, ids) in RULES.items()) for r in _rests(ids, RULES)}
+    for name, last_id, rest in sorted(longer):
+        ends = f"CASE WHEN rule = {q(name)} THEN replace({ends}, {q(listed([last_id, *rest]))}, {q(listed([last_id + '+', *rest]))}) ELSE {ends} END"
     return f"""
 WITH known(sid, s) AS (VALUES {known}),
-rules(rule, license, ids, n_sentences) AS (VALUES {rules}),
+rules(rule, license, rule_ids, n_sentences) AS (VALUES {rules}),
 {steps},
 cut AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -231,10 +252,9 @@ cut AS (
   FROM {last}),
 sentence AS (SELECT r, doc_id, generate_subscripts(parts, 1) - 1 AS place, trim(unnest(parts)) AS s FROM cut),
 seq AS (
-  SELECT r, any_value(doc_id) AS doc_id, list(place ORDER BY place) AS places, '|' || string_agg(sid, '|' ORDER BY place) || '|' AS ids
+  SELECT r, any_value(doc_id) AS doc_id, list(place ORDER BY place) AS places, string_agg('|' || sid || '|', '' ORDER BY place) AS ids
   FROM sentence JOIN known USING (s) GROUP BY r),
-held AS (
-  SELECT doc_id, rule, license, places, substr(seq.ids, 1, strpos(seq.ids, rules.ids)) AS before, n_sentences
-  FROM seq JOIN rules ON contains(seq.ids, rules.ids))
-SELECT doc_id, rule, license, CAST(places[length(before) - length(replace(before, '|', ''))] AS INTEGER) AS first_sentence, n_sentences
+asked AS (SELECT doc_id, places, {ends} AS ids, rule, license, rule_ids, n_sentences FROM seq JOIN rules ON contains(ids, rule_ids)),
+held AS (SELECT doc_id, rule, license, places, substr(ids, 1, strpos(ids, rule_ids)) AS before, n_sentences FROM asked WHERE contains(ids, rule_ids))
+SELECT doc_id, rule, license, CAST(places[(length(before) - length(replace(before, '|', '')) + 1) // 2] AS INTEGER) AS first_sentence, n_sentences
 FROM held"""
