@@ -123,10 +123,10 @@ _END = r"[.!?;:]+(?:\s+|$)|[\r\n]+"
 
 def _filled(text: Column) -> Column:
     """The text in lower case, null as empty, with what stands in a slot replaced by the known sentence's words."""
-    out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.array(F.lower(F.coalesce(text, F.lit(""))))  # a lambda's text is worked out once, however often it is named
     for needs, pattern, words in SLOTS:
-        out = F.when(reduce(and_, (F.contains(out, F.lit(w)) for w in needs)), F.regexp_replace(out, pattern, words)).otherwise(out)
-    return out
+        out = F.transform(out, lambda t: F.when(reduce(and_, (F.contains(t, F.lit(w)) for w in needs)), F.regexp_replace(t, pattern, words)).otherwise(t))
+    return F.get(out, 0)
 
 
 def sentences(text: Column) -> Column:
