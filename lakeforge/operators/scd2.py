@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeforge.functions.cleaning import row_hash
 from lakeforge.operators.keys import OPEN_END, checkpoint, latest_by_key
 
+# The attributes whose change starts a version, by dimension.
+TRACKED = {
+    "dealer": ("dealer_name", "dealer_type", "province_code", "city", "region", "address_line", "phone", "workshop_bay_count", "monthly_capacity_hours", "is_active"),
+    "employee": ("full_name", "dealer_code", "role_code", "email", "is_active"),
+    "model_trim": ("brand", "model_name", "trim_name", "model_year", "list_price_try", "warranty_months", "is_active"),
+    "part": ("part_name", "part_group_code", "is_genuine", "supplier_id", "list_price_try", "is_active"),
+    "vehicle": ("status", "stock_dealer_code", "plate_number", "master_customer_id", "dealer_cost_try"),
+}
+
+
+def changed_attributes(versions: DataFrame, key: str, tracked: Sequence[str], start: str = "valid_from", out: str = "changed") -> DataFrame:
+    """With the names of the tracked attributes, in their order, that differ from the key's version before; null for its first."""
+    by = Window.partitionBy(key).orderBy(start)
+    names = F.array_compact(F.array(*(F.when(~F.lag(c).over(by).eqNullSafe(F.col(c)), F.lit(c)) for c in tracked)))
+    return versions.withColumn(out, F.when(F.row_number().over(by) > 1, names))
+
 
 def backfill(snapshots: DataFrame, key: str, tracked: list[str], observed: str, ingested: str) -> DataFrame:
     """Versions from all snapshots: one a key and day, only where a tracked value changed; numbered by key and day."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,6 +92,18 @@ def load(raw: DataFrame, spec: Spec, salt: str = "") -> DataFrame:
     return rows.select(*out)
 
 
+def typed(raw: DataFrame, spec: Spec, columns: Sequence[str]) -> dict[str, Column]:
+    """Columns of all rows of a feed as its spec types them; others, and those of times, are cleaned text. Columns that the feed lacks are null."""
+
+    def one(c: str) -> Column:
+        text = F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
+        if c in spec.decimals:
+            return C.parse_decimal(text, spec.comma)
+        return text.try_cast("int") if c in spec.integers else F.upper(C.clean_string(text)) if c in spec.upper else C.clean_string(text)
+
+    return {c: one(c) for c in columns}
+
+
 def without(df: DataFrame, prefixes: tuple[str, ...] = ("_",), suffixes: tuple[str, ...] = ()) -> DataFrame:
     """The columns whose names begin with none of the prefixes and end with none of the suffixes."""
     return df.select(*(c for c in df.columns if not c.startswith(prefixes) and not (suffixes and c.endswith(suffixes))))

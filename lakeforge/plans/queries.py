@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeforge.functions import cleaning as C
 from lakeforge.operators import keys as K
 from lakeforge.operators import measures, quality, scd2
-from lakeforge.plans import entities, gold, model_queries, quality_queries, shop  # noqa: F401, they register their queries
+from lakeforge.plans import entities, gold, model_queries, quality_queries, shop, tracked_queries  # noqa: F401, they register their queries
 from lakeforge.plans.registry import QUERIES, SQL, Query, query
 from lakeforge.plans.registry import money as _money
 from lakeforge.plans.registry import table as _t

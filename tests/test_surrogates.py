@@ -58,3 +58,10 @@ def test_cleaning_values(spark):
     assert text(C.normalise_for_matching, "Işık  Öz-Ltd", "âbc") == ["ISIK OZ LTD", "BC"]
     assert text(lambda c: C.week_start(c.cast("date")).cast("string"), "2024-03-03", "2024-03-04") == ["2024-02-26", "2024-03-04"]
     assert text(lambda c: C.quarter_label(c.cast("date")), "2024-03-03") == ["2024-Q1"]
+
+
+def test_changed_attributes_name_what_started_a_version(spark):
+    rows = [("a", "1990-01-01", "x", 1), ("a", "1991-01-01", "x", 2), ("a", "1992-01-01", None, 3), ("a", "1993-01-01", None, 3), ("b", "1990-01-01", None, None)]
+    versions = scd2.backfill(spark.createDataFrame([(*r, 1) for r in rows], "k string, seen string, t string, n int, _ingest_ts int"), "k", ["t", "n"], "seen", "_ingest_ts")
+    got = [(r.k, str(r.valid_from), r.changed) for r in scd2.changed_attributes(versions, "k", ["t", "n"]).orderBy("k", "valid_from").collect()]
+    assert got == [("a", "1990-01-01", None), ("a", "1991-01-01", ["n"]), ("a", "1992-01-01", ["t", "n"]), ("b", "1990-01-01", None)]
