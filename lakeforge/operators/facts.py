@@ -104,6 +104,15 @@ def _versions(dim: DataFrame, key: str, sk: str, name: str) -> DataFrame:
     return real.groupBy(F.col(key).alias(f"_{name}_key")).agg(F.collect_list(F.struct("valid_from", "valid_to", F.col(sk).alias("sk"))).alias(f"_{name}"))
 
 
+def _pieces(df: DataFrame, versions: list[str], start: str, end: str) -> DataFrame:
+    """One row for each piece `_from` to `_to` of [start, end) within which no version of these lists begins or ends."""
+    bounds = F.concat(*(F.coalesce(F.col(v)[at], F.array().cast("array<date>")) for v in versions for at in ("valid_from", "valid_to")))
+    cuts = F.array_sort(F.array_distinct(F.filter(bounds, lambda x: (x > F.col(start)) & (x < F.col(end)))))
+    cut = df.withColumn("_cuts", F.concat(F.array(start), cuts, F.array(end)))
+    spans = F.transform(F.slice("_cuts", 1, F.size("_cuts") - 1), lambda x, i: F.struct(x.alias("_from"), F.get("_cuts", i + 1).alias("_to")))
+    return cut.withColumn("_span", F.explode(spans)).select("*", "_span._from", "_span._to").drop("_cuts", "_span")
+
+
 def inventory_daily(vehicles: DataFrame, contracts: DataFrame, star: Star, as_of: str) -> DataFrame:
     """One row a vehicle and day in stock: from arrival to the first new sale's delivery, else to `as_of`, which is left out."""
     sold = contracts.where("sale_type = 'NEW' and delivery_date is not null").groupBy("vin").agg(F.min("delivery_date").alias("_sold"))
@@ -113,11 +122,14 @@ def inventory_daily(vehicles: DataFrame, contracts: DataFrame, star: Star, as_of
     for name, key in keys.items():
         v = _versions(star[name], names[name], f"{name}_sk", name)
         f = f.join(v, F.col(key) == F.col(f"_{name}_key"), "left")
-    f = expand_days(f, "arrival_date", "exit_date", "snapshot_date")
+    f = _pieces(f.where(F.col("arrival_date") < F.col("exit_date")), [f"_{n}" for n in keys], "arrival_date", "exit_date")
+    at = F.col("_from")
+    held = {f"{n}_sk": F.coalesce(F.get(F.filter(f"_{n}", lambda v: (at >= v["valid_from"]) & (at < v["valid_to"])), 0)["sk"], F.lit(-1)).alias(f"{n}_sk") for n in keys}
+    f = f.select("vin", "arrival_date", "dealer_cost_try", "_from", "_to", *held.values())  # days copy no versions
+    f = expand_days(f, "_from", "_to", "snapshot_date")
     day = F.col("snapshot_date")
-    held = {f"{n}_sk": F.coalesce(F.get(F.filter(f"_{n}", lambda v: (day >= v["valid_from"]) & (day < v["valid_to"])), 0)["sk"], F.lit(-1)) for n in keys}
     age = F.datediff(day, F.col("arrival_date"))
-    return f.select("vin", C.date_key(day).alias("snapshot_date_key"), *(v.alias(n) for n, v in held.items()), age.alias("days_in_stock"), F.col("dealer_cost_try").alias("stock_value_amount"), F.lit(1).alias("vehicle_count"), C.age_band(age).alias("age_band"))
+    return f.select("vin", C.date_key(day).alias("snapshot_date_key"), *held, age.alias("days_in_stock"), F.col("dealer_cost_try").alias("stock_value_amount"), F.lit(1).alias("vehicle_count"), C.age_band(age).alias("age_band"))
 
 
 def recall_coverage(coverage: DataFrame, campaigns: DataFrame, orders: DataFrame, star: Star, calendar: Calendar, as_of: str) -> DataFrame:
