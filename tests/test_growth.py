@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeforge.functions import cleaning as C
 from lakeforge.operators import silver
+from lakeforge.plans import entities
 
 
 def _plan(df) -> str:
@@ -36,3 +37,12 @@ def test_rows_are_shuffled_without_their_hashes(spark, tmp_path):
     plan = _plan(df)
     assert plan.count("Exchange") == 1 and plan.rindex("sha2") < plan.index("Exchange") and plan.rindex("Sort ") < plan.index("Exchange")
     assert df.count() == 1
+
+
+def test_purchase_measures_join_no_dimension(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("no dimension is needed")
+
+    for name in ("_purchase_facts", "_parts", "_suppliers"):
+        monkeypatch.setattr(entities, name, refuse)
+    assert entities.purchase_measures(spark, "/root/testdata/sf0.001").count() > 0
