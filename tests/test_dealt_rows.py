@@ -1,6 +1,6 @@
 """Rows are dealt out by their number, so that no task sorts more than it can hold."""
 
-from lakeforge.operators import keys, silver
+from lakeforge.operators import keys, rules, silver
 
 
 def test_loads_deal_rows_out_by_their_number(spark, monkeypatch):
@@ -16,3 +16,27 @@ def test_loads_deal_rows_out_by_their_number(spark, monkeypatch):
 def test_few_rows_are_dealt_to_few_tasks(spark):
     assert keys.dealt(spark.range(10), "id").rdd.getNumPartitions() == 1
     assert keys.dealt(spark.range(10), "id", rows=keys.TASK_ROWS * 9).rdd.getNumPartitions() == 10
+
+
+def test_quarantine_is_counted_by_keys_alone(spark, monkeypatch):
+    t = spark.createDataFrame([("a#b", "c", -1.0), ("a", "b#c", 1.0), (None, "1", -1.0), (None, "1", 2.0), ("1", None, 1.0), ("1", "1", 500.0)], "repair_order_no string, line_no string, labour_hours double")
+    some = [r for r in rules.RULES if r.code.startswith("LABOUR_HOURS")]
+    found = rules.evaluate({"repair_order_line": t}, some, "b")[1]
+    kept, bad = rules.quarantine(t, "repair_order_line", found)
+    want = {"": kept.count()} | {r.quarantine_reason: r["count"] for r in bad.groupBy("quarantine_reason").count().collect()}
+    sizes = rules.quarantine_sizes(t, "repair_order_line", found)
+    assert {r.quarantine_reason: r.n for r in sizes.collect()} == want == {"": 3, "LABOUR_HOURS_NEGATIVE": 3}
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_orphans_are_told_by_values(spark, monkeypatch):
+    lines = spark.createDataFrame([(f"R{i}", 1, "PART", f"P{i % 7}" if i % 5 else None) for i in range(100)], "repair_order_no string, line_no int, line_type string, part_no string")
+    tables = {"repair_order_line": lines, "part": spark.createDataFrame([("P1",), ("P1",), ("P2",), (None,)], "part_no string")}
+    rule = next(r for r in rules.RULES if r.code == "PART_NO_ORPHAN" and r.target == "repair_order_line")
+    want = {f"R{i}#1" for i in range(100) if i % 5 and i % 7 not in (1, 2)}
+    for few in (100, 1):
+        monkeypatch.setattr(keys, "FEW_KEYS", few)
+        got = rules.violations(rule, tables)
+        assert {r.business_key for r in got.collect()} == want
+        assert ("BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString())) == (few == 100) and "SortMergeJoin" not in plan
